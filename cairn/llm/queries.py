@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, langid, minhash, mixing, sstable
+from cairn.llm import decontam, langid, lpf, minhash, mixing, sstable
 from cairn.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf.later_copies(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -46,6 +50,18 @@ ORACLE = {
         hit AS (SELECT doc_id, t, item_id, count(*) AS windows FROM doc, test WHERE contains(t, s) GROUP BY ALL)
         SELECT doc_id, item_id, max(windows) AS windows FROM hit GROUP BY doc_id, item_id
     """,
+    "op8_later_copies": f"""
+        WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h
+                FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM doc WHERE len(w) >= 50)),
+        seen AS (SELECT doc_id, i, row_number() OVER o AS n, first_value(doc_id) OVER o AS fd, first_value(i) OVER o AS fi
+                 FROM win WINDOW o AS (PARTITION BY h ORDER BY doc_id, i)),
+        late AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM seen WHERE n > 1),
+        part AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM late)
+        SELECT doc_id, CAST(min(i) AS INTEGER) AS start_word, CAST(max(i) + 50 AS INTEGER) AS end_word,
+               arg_min(fd, i) AS first_doc_id, CAST(arg_min(fi, i) AS INTEGER) AS first_word
+        FROM part GROUP BY doc_id, k
+    """,
 }
 
 
