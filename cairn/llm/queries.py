@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, langid, lpf, minhash, mixing, sstable
+from cairn.llm import decontam, langid, linededup, lpf, minhash, mixing, sstable
 from cairn.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.later_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -62,6 +66,19 @@ ORACLE = {
                arg_min(fd, i) AS first_doc_id, CAST(arg_min(fi, i) AS INTEGER) AS first_word
         FROM part GROUP BY doc_id, k
     """,
+    "op9_repeated_lines": """
+        WITH line AS (SELECT doc_id, i - 1 AS line_no, l[i] AS s
+                      FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))),
+        one AS (SELECT s, min((doc_id, line_no)) AS f, length(s) AS n FROM line WHERE s <> '' GROUP BY s),
+        var AS (SELECT s, f, n, i, md5(substr(s, 1, i - 1) || substr(s, i + 1)) AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM one)),
+        near AS (SELECT b.s, a.f FROM var a JOIN var b ON a.v = b.v AND a.n = b.n AND a.i = b.i WHERE a.f < b.f
+                 UNION ALL SELECT a.s, b.f FROM one a JOIN var b ON md5(a.s) = b.v AND a.n = b.n - 1 WHERE b.f < a.f
+                 UNION ALL SELECT b.s, a.f FROM one a JOIN var b ON md5(a.s) = b.v AND a.n = b.n - 1 WHERE a.f < b.f),
+        best AS (SELECT s, min(f) AS e FROM near GROUP BY s)
+        SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, coalesce(e, f)[1] AS keep_doc_id, CAST(coalesce(e, f)[2] AS INTEGER) AS keep_line_no,
+               CASE WHEN e IS NULL THEN 0 ELSE 1 END AS distance
+        FROM line JOIN one USING (s) LEFT JOIN best USING (s) WHERE e IS NOT NULL OR f < (doc_id, line_no)
+    """,
 }
 
 
