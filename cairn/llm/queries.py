@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, langid, linededup, lpf, minhash, mixing, sstable
+from cairn.llm import decontam, hmm, langid, linededup, lpf, minhash, mixing, sstable, topk
 from cairn.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(topk.codes(table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_shards(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,14 @@ ORACLE = {
         hit AS (SELECT doc_id, t, item_id, count(*) AS windows FROM doc, test WHERE contains(t, s) GROUP BY ALL)
         SELECT doc_id, item_id, max(windows) AS windows FROM hit GROUP BY doc_id, item_id
     """,
+    "op4_nearest_codes": """
+        WITH c AS (SELECT DISTINCT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 AND NOT isnan(embedding[i]) THEN 1 ELSE 0 END) AS b
+                   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        d AS (SELECT x.vec_id, y.vec_id AS neighbour_id, CAST(list_sum(list_transform(list_zip(x.b, y.b), lambda p: abs(p[1] - p[2]))) AS INTEGER) AS distance
+              FROM c x JOIN c y ON x.vec_id <> y.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS k FROM d)
+        SELECT vec_id, CAST(k AS INTEGER) AS rank, neighbour_id, distance FROM r WHERE k <= 10
+    """,
     "op8_later_copies": f"""
         WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
         win AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h
