@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, hmm, langid, linededup, lpf, minhash, mixing, sstable, topk
+from cairn.llm import decontam, hmm, langid, linededup, lpf, minhash, mixing, secrets, sstable, topk
 from cairn.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.findings()))
+
+
 def op8_later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.later_copies(table(spark, sf_dir, "documents"))
 
