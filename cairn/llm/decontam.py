@@ -86,6 +86,8 @@ class Table:
     @staticmethod
     def of(strings: list[bytes]) -> Table:
         length = np.array([len(s) for s in strings], np.int64)
+        if length.min() < BLOCK:
+            raise ValueError(f"test strings have {BLOCK} bytes at least")
         size = int(length.min())
         start = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
