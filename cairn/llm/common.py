@@ -77,7 +77,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         if rest and rest[-1].column(key)[-1] == last:
             raise ValueError("the rows are not sorted")
         rest.append(batch.slice(0, same))
-        yield pa.Table.from_batches(rest)
+        if any(r.num_rows for r in rest):
+            yield pa.Table.from_batches(rest)
         rest = [batch.slice(same)]
     if rest:
         yield pa.Table.from_batches(rest)

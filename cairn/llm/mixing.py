@@ -86,20 +86,22 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     bits = FINE_BITS
     while True:
         fine = docs.select("source", F.pmod(spread, F.lit(1 << bits)).alias("fine"), tokens.alias("n")).groupBy("source", "fine").agg(F.sum("n").alias("n")).filter("n > 0")
-        counted = fine.toPandas()
-        most = counted.groupby("source", dropna=False)["n"].sum().max() if len(counted) else 0
-        if (need := max(0, (int(most) - 1) // stripe_tokens).bit_length()) <= bits:
+        counted: dict[str | None, list[tuple[int, int]]] = {}
+        for name, at, n in zip(*fine.toArrow().to_pydict().values()):
+            counted.setdefault(name, []).append((at, n))
+        most = max((sum(n for _, n in v) for v in counted.values()), default=0)
+        if (need := max(0, (most - 1) // stripe_tokens).bit_length()) <= bits:
             break
         bits = need
-    if not len(counted):
+    if not counted:
         return spark.createDataFrame([], SCHEMA)
-    counted["source"] = counted["source"].where(counted["source"].notna(), None)
-    sources: list[tuple[object, int, int, np.ndarray, int]] = []  # source, stripes, blocks, base of each stripe, tokens
-    for name, part in sorted(counted.groupby("source", dropna=False), key=lambda x: (isinstance(x[0], str), str(x[0]))):
-        name = name if isinstance(name, str) else None
-        total = int(part["n"].sum())
+    sources: list[tuple[str | None, int, int, np.ndarray, int]] = []  # source, stripes, blocks, base of each stripe, tokens
+    for name in sorted(counted, key=lambda s: (s is not None, s or "")):
+        part = np.array(counted[name], np.int64)
+        total = int(part[:, 1].sum())
         stripes = 1 << max(0, (total - 1) // stripe_tokens).bit_length()
-        by = np.bincount(part["fine"].to_numpy() % stripes, part["n"].to_numpy(), stripes).astype(np.int64)
+        by = np.zeros(stripes, np.int64)
+        np.add.at(by, part[:, 0] % stripes, part[:, 1])
         blocks = -(-by // block)
         sources.append((name, stripes, int(blocks.sum()), np.cumsum(blocks) - blocks, total))
     target = np.array([float((weights or {}).get(s[0], 0.0)) if weights is not None else float(s[4]) ** TEMPERATURE for s in sources])
