@@ -7,12 +7,15 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ENCODED = F.octet_length("len_stream") + F.octet_length("lit_stream") + F.octet_length("off_stream")
+
+
+def _encoded() -> Column:
+    return F.octet_length("len_stream") + F.octet_length("lit_stream") + F.octet_length("off_stream")
 
 
 def encoding_summary(encoded: DataFrame, dict_bytes: int) -> DataFrame:
     """Text and encoding bytes (the dictionary included), their ratio in percent, factors, bits a factor, blocks."""
-    sums = encoded.agg(F.sum("raw_len").alias("text_bytes"), F.sum(_ENCODED).alias("stream_bytes"), F.sum("n_factors").alias("n_factors"), F.count("*").alias("n_blocks"))
+    sums = encoded.agg(F.sum("raw_len").alias("text_bytes"), F.sum(_encoded()).alias("stream_bytes"), F.sum("n_factors").alias("n_factors"), F.count("*").alias("n_blocks"))
     size = F.col("stream_bytes") + dict_bytes
     return sums.select(
         "text_bytes", size.alias("encoding_bytes"), (size / F.col("text_bytes") * 100).alias("ratio_pct"), (100 - size / F.col("text_bytes") * 100).alias("savings_pct"),
@@ -30,7 +33,7 @@ def distribution(rows: DataFrame, value: Column) -> DataFrame:
 
 
 def block_sizes(encoded: DataFrame) -> DataFrame:
-    return distribution(encoded, _ENCODED)
+    return distribution(encoded, _encoded())
 
 
 def factors_per_block(encoded: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def count_of_counts(grams: DataFrame) -> DataFrame:
 def archive_ratio(encoded: DataFrame, data: bytes) -> DataFrame:
     """Streams, block map (12 bytes a block) and the compressed dictionary against the text."""
     packed = len(zlib.compress(data, 9))
-    return encoded.agg(((F.sum(_ENCODED + 12) + packed) / F.sum("raw_len")).alias("ratio"))
+    return encoded.agg(((F.sum(_encoded() + 12) + packed) / F.sum("raw_len")).alias("ratio"))
 
 
 def lz_archive_ratio(lz: DataFrame) -> DataFrame:
