@@ -59,9 +59,10 @@ def encode(codec: str, values: np.ndarray) -> bytes:
         z = zlib.compressobj(int(level or 9), zlib.DEFLATED, 15, 9)
         return z.compress(raw) + z.flush()
     if name == "bzip2":
-        return bz2.compress(raw, int(level or 9))
+        return bz2.compress(raw, max(1, min(int(level or 9), -(-len(raw) // 100_000))))  # larger blocks than the data only cost memory
     if name == "lzma":
-        return lzma.compress(raw, check=lzma.CHECK_NONE, preset=int(level or 6))
+        few = {"id": lzma.FILTER_LZMA2, "preset": int(level or 6)} | ({"dict_size": max(4096, len(raw))} if len(raw) < 1 << 20 else {})
+        return lzma.compress(raw, check=lzma.CHECK_NONE, filters=[few])
     if name == "lz4":
         return pa.Codec("lz4_raw").compress(raw, asbytes=True) if raw else b""
     if name == "brotli":

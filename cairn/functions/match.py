@@ -92,82 +92,127 @@ class Index:
     order: np.ndarray
     head: np.ndarray  #: first eight bytes by suffix order
     words: np.ndarray  #: eight bytes from each place on
+    steps: list[np.ndarray]  #: by suffix order: where the suffixes begin that share the bytes before, and the next four bytes
     least: LeastIn
     plain: bool
 
     @staticmethod
-    def of(dictionary: bytes) -> Index:
+    def of(dictionary: bytes, order: np.ndarray | None = None) -> Index:
+        """``order``: the suffix array, if it is known already."""
         if len(dictionary) > MAX_DICTIONARY:
             raise ValueError(f"a dictionary has at most {MAX_DICTIONARY} bytes, for it goes to every executor")
         data = np.frombuffer(dictionary, np.uint8)
-        order, words = suffix_array(data), eight(data)
-        return Index(data, order, words[order], words, LeastIn(order), not (data == 0).any())
+        order = suffix_array(data) if order is None else order.astype(np.int64)
+        words, n = eight(data), len(data)
+        head, steps, depth = words[order], [], 8
+        apart = np.r_[True, head[1:] != head[:-1]][:n]
+        for _ in range(6 if n <= 4 << 20 else 2):
+            begin = np.flatnonzero(apart)
+            group = begin[np.cumsum(apart) - 1] if n else begin
+            steps.append((group.astype(np.uint64) << np.uint64(32)) | (words[np.minimum(order + depth, n)] >> np.uint64(32)))
+            apart = np.r_[True, steps[-1][1:] != steps[-1][:-1]][:n]
+            depth += 4
+        return Index(data, order, head, words, steps, LeastIn(order), not (data == 0).any())
 
-    def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray, key: np.ndarray, right: bool) -> np.ndarray:
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: int, key: np.ndarray, right: bool) -> np.ndarray:
         """Where in each range of suffixes the eight bytes at ``depth`` reach (or pass) key."""
         lo, hi, n = lo.copy(), hi.copy(), len(self.data)
         on = np.flatnonzero(lo < hi)
         while len(on):
             mid = (lo[on] + hi[on]) // 2
-            word = self.words[np.minimum(self.order[mid] + depth[on], n)]
+            word = self.words[np.minimum(self.order[mid] + depth, n)]
             low = word <= key[on] if right else word < key[on]
             lo[on] = np.where(low, mid + 1, lo[on])
             hi[on] = np.where(low, hi[on], mid)
             on = on[lo[on] < hi[on]]
         return lo
 
-    def longest(self, words: np.ndarray, at: np.ndarray, room: np.ndarray, leftmost: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts that begin at ``at`` in words (eight bytes each), ``room`` bytes long: length of the longest match, its
-        leftmost place, and how often it occurs. Without zero bytes in text and dictionary."""
+    def _extend(self, words: np.ndarray, at: np.ndarray, place: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """How many bytes a text at ``at`` and the dictionary at ``place`` share."""
+        most = np.minimum(room, len(self.data) - place)
+        done, on, width = np.zeros(len(at), np.int64), np.flatnonzero(most > 0), 1
+        while len(on):
+            cols = np.arange(width) * 8
+            a = words[np.minimum((at[on] + done[on])[:, None] + cols, len(words) - 1)]
+            b = self.words[np.minimum((place[on] + done[on])[:, None] + cols, len(self.data))]
+            differ = a != b
+            first = np.where(differ.any(1), differ.argmax(1), width)
+            some = first < width
+            done[on] += first * 8
+            row = np.flatnonzero(some)
+            done[on[row]] += _shared(a[row, first[row]], b[row, first[row]])
+            on = on[~some]
+            on = on[done[on] < most[on]]
+            width = min(64, width * 4)
+        return np.minimum(done, most)
+
+    def longest(self, words: np.ndarray, at: np.ndarray, room: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """For texts that begin at ``at`` in words (eight bytes each), ``room`` bytes long: length of the longest match, and its
+        leftmost place where it is longer than ``least``. Without zero bytes in text and dictionary, so zeros stand past an end
+        only, and equal bytes with none of them are a true match."""
         k, n = len(at), len(self.data)
         length, lo, hi = np.zeros(k, np.int64), np.zeros(k, np.int64), np.full(k, n)
-        depth, on = np.zeros(k, np.int64), np.arange(k)
+        known, depth, on, turn = np.full(k, LITERAL), 0, np.arange(k), 0
         while len(on):
-            key = words[np.minimum(at[on] + depth[on], len(words) - 1)].copy()
-            key[depth[on] >= room[on]] = 0
-            if depth[on[0]] == 0:
-                a, b = np.searchsorted(self.head, key, "left"), np.searchsorted(self.head, key, "right")
+            if depth and len(few := np.flatnonzero(hi[on] - lo[on] <= 8)):  # few places are left: compare straight on
+                r, count = on[few], (hi[on] - lo[on])[few]
+                first = np.cumsum(count) - count
+                lane = np.repeat(np.arange(len(r)), count)
+                place = self.order[np.arange(len(lane)) - first[lane] + lo[r][lane]]
+                common = self._extend(words, (at[r] + depth)[lane], place + depth, (room[r] - depth)[lane])
+                most = np.maximum.reduceat(common, first)
+                length[r] = depth + most
+                known[r] = np.minimum.reduceat(np.where(common == most[lane], place, n), first)
+                on = np.delete(on, few)
+                if not len(on):
+                    break
+            word = words[np.minimum(at[on] + depth, len(words) - 1)]
+            if depth:
+                word = np.where(depth < room[on], word, np.uint64(0))
+            l0, h0 = lo[on], hi[on]
+            if turn == 0:
+                table, width, key = self.head, 8, word
+            elif turn <= len(self.steps):
+                table, width, key = self.steps[turn - 1], 4, (l0.astype(np.uint64) << np.uint64(32)) | (word >> np.uint64(32))
             else:
-                a = self._bound(lo[on], hi[on], depth[on], key, False)
-                b = self._bound(a, hi[on], depth[on], key, True)
-            # Zeros stand past an end only, so eight equal bytes with none of them are a true match.
-            full = (a < b) & (room[on] - depth[on] >= 8) & ((key & np.uint64(0xFF)) != 0)
-            rest = ~full
-            if rest.any():
-                r = on[rest]
-                q, x, l0, h0, d = key[rest], a[rest], lo[r], hi[r], depth[r]
+                table, width, key = None, 8, word
+
+            def find(low: np.ndarray, high: np.ndarray, x: np.ndarray, y: np.ndarray, table=table, depth=depth) -> tuple[np.ndarray, np.ndarray]:
+                if table is not None:
+                    return np.searchsorted(table, low, "left"), np.searchsorted(table, high, "right")
+                first = self._bound(x, y, depth, low, False)
+                return first, self._bound(first, y, depth, high, True)
+
+            a, b = find(key, key, l0, h0)
+            full = (a < b) & (room[on] - depth >= width) & ((key & np.uint64(0xFF)) != 0)
+            rest = np.flatnonzero(~full)
+            if len(rest):
+                r, q, x, l1, h1 = on[rest], key[rest], a[rest], l0[rest], h0[rest]
                 best = np.zeros(len(r), np.int64)
                 for y in (x - 1, x):
-                    ok = (y >= l0) & (y < h0)
-                    s = self.order[np.clip(y, 0, n - 1)] + d if n else y
-                    common = np.minimum(_shared(q, self.words[np.minimum(s, n)]), np.minimum(room[r] - d, n - s))
+                    ok = (y >= l1) & (y < h1)
+                    z = np.clip(y, 0, max(0, n - 1))
+                    s = self.order[z] + depth if n else z
+                    other = self.words[np.minimum(s, n)] if table is None else table[z] if n else q
+                    common = np.minimum(_shared(q, other) - (8 - width), np.minimum(room[r] - depth, n - s))
                     best = np.maximum(best, np.where(ok, common, 0))
-                length[r] = d + best
-                some = (best > 0) & (best < 8)
-                if some.any():
-                    z = np.flatnonzero(some)
-                    mask = ~((np.uint64(1) << ((8 - best[z]).astype(np.uint64) * np.uint64(8))) - np.uint64(1))
-                    low, high = q[z] & mask, (q[z] & mask) | ~mask
-                    first = d[z] == 0
-                    new_lo, new_hi = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-                    if first.any():
-                        new_lo[first], new_hi[first] = np.searchsorted(self.head, low[first], "left"), np.searchsorted(self.head, high[first], "right")
-                    if not first.all():
-                        m = ~first
-                        new_lo[m] = self._bound(l0[z][m], h0[z][m], d[z][m], low[m], False)
-                        new_hi[m] = self._bound(new_lo[m], h0[z][m], d[z][m], high[m], True)
-                    lo[r[z]], hi[r[z]] = new_lo, new_hi
-                eq = best == 8
+                length[r] = depth + best
+                z = np.flatnonzero((best > 0) & (best < width) & (length[r] > least))
+                if len(z):
+                    below = (np.uint64(1) << ((width - best[z]).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+                    lo[r[z]], hi[r[z]] = find(q[z] & ~below, q[z] | below, l1[z], h1[z])
+                eq = best == width
                 lo[r[eq]], hi[r[eq]] = a[rest][eq], b[rest][eq]
             on, a, b = on[full], a[full], b[full]
             lo[on], hi[on] = a, b
-            depth[on] += 8
-            length[on] = depth[on]
-        found = length > 0
-        where = np.full(k, LITERAL)
-        if found.any():
-            where[found] = self.least(lo[found], hi[found]) if leftmost else self.order[lo[found]]
-        return length, where, np.where(found, hi - lo, 0)
+            depth += width
+            length[on] = depth
+            turn += 1
+        where = np.where(length > least, known, LITERAL)
+        found = np.flatnonzero((length > least) & (known < 0))
+        if len(found):
+            where[found] = self.least(lo[found], hi[found])
+        return length, where
 
     def parse(self, blocks: list[bytes], threshold: int = 3, times: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Greedy parse of each block: offsets (LITERAL for a literal) and lengths of its factors. Matches no longer
@@ -179,10 +224,10 @@ class Index:
         sizes = np.array([len(b) for b in blocks], np.int64)
         first = np.cumsum(sizes + 8) - (sizes + 8)
         words = eight(np.frombuffer(b"".join(x for b in blocks for x in (b, bytes(8))), np.uint8))
-        length, where = self._walk(words, first, first + sizes)
+        length, where = self._walk(words, first, first + sizes, threshold)
         return self._factors(length, where, first, first + sizes, threshold)
 
-    def _walk(self, words: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _walk(self, words: np.ndarray, first: np.ndarray, stop: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
         """Longest matches at all places that greedy parses of the blocks visit, and at few others. Besides the block's begin,
         a walk starts at every STRIPE-th byte, and ends where another one has been. Walks soon meet, so what follows
         from any visited place has been visited as well, and all walks go in step."""
@@ -192,7 +237,7 @@ class Index:
             end[a:b] = b
         at = np.concatenate([np.arange(a, b, STRIPE) for a, b in zip(first.tolist(), stop.tolist())]) if len(first) else first
         while len(at):
-            n, w, _ = self.longest(words, at, end[at] - at)
+            n, w = self.longest(words, at, end[at] - at, threshold)
             length[at], where[at] = np.maximum(n, 1), w
             at = np.unique(at + length[at])
             at = at[(at < end[at - 1]) & (length[at] == 0)]
@@ -200,27 +245,31 @@ class Index:
 
     @staticmethod
     def _factors(length: np.ndarray, where: np.ndarray, first: np.ndarray, stop: np.ndarray, threshold: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        step, place = length.tolist(), where.tolist()
+        step = length.tolist()
         offsets: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         for p, e in zip(first.tolist(), stop.tolist()):
-            out, size, last = [], [], 0
+            places = []
             while p < e:
-                n, w = step[p], place[p]
-                p += n
-                if n > threshold and w >= 0:
-                    out.append(w)
-                    size.append(n)
-                    last = 0
-                elif last and last + n <= threshold:
-                    last += n
-                    size[-1] = last
+                places.append(p)
+                p += step[p]
+            size, place = length[places].astype(np.int64), where[places]
+            short = place < 0
+            place[short] = LITERAL
+            keep = np.ones(len(size), bool)
+            before, total, last = -2, 0, 0
+            sizes = size.tolist()
+            for i in np.flatnonzero(short).tolist():  # literals merge
+                n = sizes[i]
+                if i == before + 1 and total + n <= threshold:
+                    total += n
+                    size[last] = total
+                    keep[i] = False
                 else:
-                    out.append(LITERAL)
-                    size.append(n)
-                    last = n
-            offsets.append(np.array(out, np.int64))
-            lengths.append(np.array(size, np.int64))
+                    total, last = n, i
+                before = i
+            offsets.append(place[keep])
+            lengths.append(size[keep])
         return offsets, lengths
 
     def _parse_one(self, block: bytes, threshold: int, times: int) -> tuple[np.ndarray, np.ndarray]:

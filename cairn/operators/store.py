@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.codecs import decode, encode
-from cairn.functions.match import LITERAL, Index
+from cairn.functions.match import LITERAL, MAX_DICTIONARY, Index, suffix_array
 from cairn.operators import dictionary as dictionaries
 from cairn.operators import prune
 from cairn.operators.blocks import BLOCK_SIZE, extract
@@ -53,8 +53,8 @@ PRESETS = {
 
 
 @lru_cache(2)
-def _index(data: bytes) -> Index:
-    return Index.of(data)
+def _index(data: bytes, order: bytes) -> Index:
+    return Index.of(data, np.frombuffer(order, np.int32))
 
 
 def encode_block(block: bytes, offsets: np.ndarray, lengths: np.ndarray, cfg: StoreConfig) -> tuple[bytes, bytes, bytes]:
@@ -113,10 +113,13 @@ def _batches(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBa
 
 def encode_blocks(blocks: DataFrame, data: bytes, cfg: StoreConfig) -> DataFrame:
     """Parses and encodes every block where it is; no shuffle."""
-    shared = blocks.sparkSession.sparkContext.broadcast(data)
+    if len(data) > MAX_DICTIONARY:
+        raise ValueError(f"a dictionary has at most {MAX_DICTIONARY} bytes, for it goes to every executor")
+    order = suffix_array(np.frombuffer(data, np.uint8)).astype(np.int32).tobytes()  # once, on the driver
+    shared = blocks.sparkSession.sparkContext.broadcast((data, order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(shared.value)
+        index = _index(*shared.value)
         for whole in batches:
             for b in _batches(whole):
                 raw = b.column("content").to_pylist()

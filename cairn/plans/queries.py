@@ -12,6 +12,7 @@ from cairn.functions.codecs import NAMES
 from cairn.functions.hashing import rabin_karp
 from cairn.operators import dictionary, prune, sketch, stats, store
 from cairn.operators.blocks import extract, to_blocks
+from cairn.plans.scratch import write_table
 from cairn.sources.corpus import doc_order, replaced, sanitize, to_corpus
 
 B = 16 << 10
@@ -34,8 +35,13 @@ def _digest(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", "raw_len", F.sha2("content", 256).alias("sha"))
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks as a table: building a store reads them several times."""
+    return write_table(_blocks(spark, sf_dir), "blocks")
+
+
 def _store(spark: SparkSession, sf_dir: str, **changes: object) -> store.Store:
-    return store.build(_blocks(spark, sf_dir), replace(CFG, **changes))
+    return store.build(_saved(spark, sf_dir), replace(CFG, **changes))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +81,7 @@ def _requests(spark: SparkSession, blocks: DataFrame) -> DataFrame:
 
 
 def raw_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _blocks(spark, sf_dir)
+    b = _saved(spark, sf_dir)
     return extract(b, _requests(spark, b), B).select("req_id", F.sha2("content", 256).alias("sha"))
 
 
@@ -83,16 +89,16 @@ def raw_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uniform_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.uniform_samples(_blocks(spark, sf_dir), CFG.dict_bytes, block_size=B).select("sample_id", "text_pos", F.sha2("content", 256).alias("sha"))
+    return dictionary.uniform_samples(_saved(spark, sf_dir), CFG.dict_bytes, block_size=B).select("sample_id", "text_pos", F.sha2("content", 256).alias("sha"))
 
 
 def coverage_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = dictionary.coverage(_blocks(spark, sf_dir), CFG.dict_bytes, block_size=B)
+    data = dictionary.coverage(_saved(spark, sf_dir), CFG.dict_bytes, block_size=B)
     return spark.createDataFrame([(dictionary.fingerprint(data), len(data))], "dict_id bigint, n_bytes bigint")
 
 
 def assembled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary.segments(_blocks(spark, sf_dir), block_size=B).select("text_pos", F.octet_length("content").alias("n_bytes"))
+    return dictionary.segments(_saved(spark, sf_dir), block_size=B).select("text_pos", F.octet_length("content").alias("n_bytes"))
 
 
 # --- stores
@@ -149,11 +155,11 @@ def rlz_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rlz_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
-    return store.build(to_blocks(c, B), CFG).documents(c.drop("content"), ["doc_id"]).select("doc_id", F.sha2("content", 256).alias("sha"))
+    return store.build(write_table(to_blocks(c, B), "blocks"), CFG).documents(c.drop("content"), ["doc_id"]).select("doc_id", F.sha2("content", 256).alias("sha"))
 
 
 def rlz_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _blocks(spark, sf_dir)
+    b = _saved(spark, sf_dir)
     return store.verify(store.build(b, CFG).scan(), b)
 
 
@@ -202,7 +208,7 @@ def _part_factors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bytes]:
     data = _part_dictionary(spark, sf_dir)
     text = F.encode(F.concat_ws(" ", "p_name", "p_brand", "p_type"), "UTF-8")
     rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("block_id"), F.octet_length(text).alias("raw_len"), text.alias("content"))
-    cfg = replace(CFG, threshold=1)
+    cfg = replace(CFG, threshold=1, codecs=store.PRESETS["u32v"].codecs)
     return store.factors_of(store.encode_blocks(rows, data, cfg), cfg), data
 
 
@@ -272,7 +278,7 @@ def rabin_karp_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A count-min sketch of all 16-byte runs never counts too little, and seldom much too much."""
-    grams = sketch.kgram_hashes(_blocks(spark, sf_dir), 16, B)
+    grams = sketch.kgram_hashes(_saved(spark, sf_dir), 16, B)
     data = sketch.cms_build(grams, "h").first()[0]
     counts = sketch.cms_estimate(data, grams.groupBy("h").agg(F.count("*").alias("n")), "h")
     most = sketch.CountMin(bytes(data)).error()
