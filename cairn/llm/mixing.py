@@ -35,7 +35,7 @@ from cairn.llm.textkernel import mix
 
 BLOCK = 512
 SHARD = 256
-STRIPE_TOKENS = 1 << 20
+STRIPE_TOKENS = 1 << 18
 TEMPERATURE = 0.5
 FINE_BITS = 12
 GROUP = 1024  #: shards whose counts are added up at once
