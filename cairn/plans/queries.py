@@ -104,66 +104,66 @@ def assembled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- stores
 
 
-def rlz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir).scan())
 
 
-def rlz_empty_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_empty_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, dictionary="none").scan())
 
 
-def rlz_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, dictionary="coverage").scan())
 
 
-def rlz_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, dictionary="assemble").scan())
 
 
-def rlz_assemble_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_assemble_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, dictionary="assemble_disjoint").scan())
 
 
-def rlz_pruned_rem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_pruned_rem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, prune="rem", pruned_bytes=128 << 10).scan())
 
 
-def rlz_pruned_care(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_pruned_care(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, prune="care", pruned_bytes=192 << 10).scan())
 
 
-def rlz_pruned_care_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_pruned_care_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, prune="care_fft", pruned_bytes=192 << 10).scan())
 
 
-def rlz_u32v(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_u32v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, codecs=store.PRESETS["u32v"].codecs).scan())
 
 
-def rlz_two_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_two_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir, coder="two").scan())
 
 
-def rlz_reencoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_reencoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(_store(spark, sf_dir).reencode(("vbyte", "brotli-6", "bzip2-9")).scan())
 
 
-def rlz_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir)
     return s.extract(_requests(spark, s.encoded)).select("req_id", F.sha2("content", 256).alias("sha"))
 
 
-def rlz_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _corpus(spark, sf_dir)
     return store.build(write_table(to_blocks(c, B), "blocks"), CFG).documents(c.drop("content"), ["doc_id"]).select("doc_id", F.sha2("content", 256).alias("sha"))
 
 
-def rlz_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _saved(spark, sf_dir)
     return store.verify(store.build(b, CFG).scan(), b)
 
 
-def rlz_factor_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def store_factor_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors of every block from the streams alone: their lengths make up the block."""
     f = _store(spark, sf_dir).factors()
     ok = F.min(F.when(F.col("is_literal"), (F.col("len") <= 3) & (F.octet_length("literal") == F.col("len"))).otherwise((F.col("len") > 3) & (F.col("offset") >= 0)))
@@ -306,9 +306,9 @@ def archive_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OWN = [
-    corpus_offsets, turn_offsets, sanitized, docno_order, blocks_raw, raw_ranges, uniform_dictionary, coverage_dictionary, assembled_segments, rlz_roundtrip, rlz_empty_dictionary,
-    rlz_coverage, rlz_assemble, rlz_assemble_disjoint, rlz_pruned_rem, rlz_pruned_care, rlz_pruned_care_fft, rlz_u32v, rlz_two_stream, rlz_reencoded, rlz_ranges, rlz_documents, rlz_verify,
-    rlz_factor_bytes, codec_arrays, greedy_parse, length_histogram, literal_share, dictionary_usage, usage_thresholds, zero_runs, zero_places, heatmap, prune_rem_blocks, care_runs, kgram_counts,
+    corpus_offsets, turn_offsets, sanitized, docno_order, blocks_raw, raw_ranges, uniform_dictionary, coverage_dictionary, assembled_segments, store_roundtrip, store_empty_dictionary,
+    store_coverage, store_assemble, store_assemble_disjoint, store_pruned_rem, store_pruned_care, store_pruned_care_fft, store_u32v, store_two_stream, store_reencoded, store_ranges, store_documents, store_verify,
+    store_factor_bytes, codec_arrays, greedy_parse, length_histogram, literal_share, dictionary_usage, usage_thresholds, zero_runs, zero_places, heatmap, prune_rem_blocks, care_runs, kgram_counts,
     count_of_counts, rabin_karp_hashes, sketch_bounds, encoding_summary, block_sizes, document_sizes, archive_ratios,
 ]
 _LZ = {f"lz_{c.partition('-')[0]}": c for c in ("zlib-9", "bzip2-9", "lzma-6", "lz4", "brotli-6", "aligned", "vbyte")}
@@ -347,11 +347,11 @@ _SQL = {
     "docno_order": """SELECT 'D-' || doc_id AS docno, CAST(sum(n) OVER (ORDER BY doc_id) - n + 6 AS BIGINT) AS pos
         FROM (SELECT doc_id, octet_length(encode('<DOC>' || chr(10) || '<DOCNO> D-' || doc_id || ' </DOCNO>' || chr(10) || text || chr(10) || '</DOC>' || chr(10))) AS n FROM documents)""",
     "raw_ranges": _RANGES,
-    "rlz_ranges": _RANGES,
+    "store_ranges": _RANGES,
     "uniform_dictionary": _SAMPLES,
-    "rlz_documents": "SELECT doc_id, sha256(encode(coalesce(text, ''))) AS sha FROM documents",
-    "rlz_verify": f"WITH {_TEXT} SELECT CAST((n + {B} - 1) // {B} AS BIGINT) AS n_blocks, CAST(0 AS BIGINT) AS n_bad FROM n",
-    "rlz_factor_bytes": f"WITH {_TEXT} SELECT CAST(i AS BIGINT) AS block_id, CAST(least({B}, n - i * {B}) AS BIGINT) AS raw_len, true AS well_formed FROM n, range(0, (SELECT (n + {B} - 1) // {B} FROM n)) r(i)",
+    "store_documents": "SELECT doc_id, sha256(encode(coalesce(text, ''))) AS sha FROM documents",
+    "store_verify": f"WITH {_TEXT} SELECT CAST((n + {B} - 1) // {B} AS BIGINT) AS n_blocks, CAST(0 AS BIGINT) AS n_bad FROM n",
+    "store_factor_bytes": f"WITH {_TEXT} SELECT CAST(i AS BIGINT) AS block_id, CAST(least({B}, n - i * {B}) AS BIGINT) AS raw_len, true AS well_formed FROM n, range(0, (SELECT (n + {B} - 1) // {B} FROM n)) r(i)",
     "codec_arrays": f"SELECT l_orderkey, count(*) AS n, CAST({len(NAMES)} * sum(l_partkey) AS BIGINT) AS total FROM lineitem GROUP BY l_orderkey",
     "greedy_parse": f'{_PARSE} SELECT block_id, CAST(seq AS INTEGER) AS seq, is_literal, CAST(coalesce("offset", -1) AS INTEGER) AS "offset", CAST(len AS INTEGER) AS len FROM f',
     "length_histogram": f"{_PARSE} SELECT CAST(CASE WHEN is_literal THEN 0 ELSE len END AS INTEGER) AS len, count(*) AS n FROM f GROUP BY 1",
@@ -378,5 +378,5 @@ _SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    same = ["blocks_raw", *_LZ, *(f.__name__ for f in _OWN if f.__name__.startswith("rlz_") and f.__name__ not in _SQL)]
+    same = ["blocks_raw", *_LZ, *(f.__name__ for f in _OWN if f.__name__.startswith("store_") and f.__name__ not in _SQL)]
     return _SQL | dict.fromkeys(same, _BLOCKS)

@@ -16,7 +16,7 @@ def test_entry(spark):
 
 
 def test_it_works_without_the_optional_parts(tmp_path):
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'rlz_roundtrip' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'store_roundtrip' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
     subprocess.run(["cp", "-r", str(ROOT / "cairn"), str(ROOT / "__spark_entry__.py"), str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", str(tmp_path / "cairn/llm")], check=True)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
