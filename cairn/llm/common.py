@@ -84,6 +84,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(rest)
 
 
+def repeated(batches: Iterator[pa.RecordBatch], key: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of sorted batches the rows whose key another row has too. One row is held back at a time, so a frequent key takes no memory."""
+    held, known, last = None, False, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = np.asarray(batch.column(key))
+        same, begins = keys[1:] == keys[:-1], held is not None and last == keys[0]
+        if held is not None and (known or begins):
+            yield held
+        use = np.r_[begins, same][:-1] | same
+        if use.any():
+            yield batch.slice(0, n - 1).select(columns).filter(pa.array(use))
+        held, known, last = batch.slice(n - 1).select(columns), bool(same[-1]) if n > 1 else begins, keys[-1]
+    if held is not None and known:
+        yield held
+
+
 def column(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit hashes as Spark's bigint."""
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, pieces, whole_groups, write_table
+from cairn.llm.common import column, pieces, repeated, whole_groups, write_table
 from cairn.llm.textkernel import BASE, mix, powers
 
 OTHER_BASE = 0xD1B54A32D192ED03
@@ -143,14 +143,6 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                     halves += [_key(p.raw(start, start + half), longest, 1), _key(p.raw(end - (longest - 1 - half), end), longest, 2)]
                 yield pa.RecordBatch.from_pydict({"h": column(h), "h2": column(h2), "doc_id": part.column("doc_id").take(pa.array(row)), "line_no": pa.array(number.astype(np.int32))} | {f"k{i}": column(k) for i, k in enumerate(halves)})
 
-    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "key"):
-            key = np.asarray(group.column("key"))
-            same = key[1:] == key[:-1]
-            use = np.r_[same, False] | np.r_[False, same]
-            if use.any():
-                yield from group.select(["doc_id", "line_no", "bit"]).filter(pa.array(use)).combine_chunks().to_batches()
-
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({
@@ -201,7 +193,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = write_table(raw.withColumn("f", first).select("*", F.col("f.doc_id").alias("f_doc_id"), F.col("f.line_no").alias("f_line_no")).drop("f", "h2"), "lines")
     own = "doc_id = f_doc_id and line_no = f_line_no"
     keyed = lines.filter(own).select("doc_id", "line_no", "k0", "k1", "k2", "k3").mapInArrow(halves, "key bigint, doc_id bigint, line_no int, bit int")
-    met = keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(meeting, "doc_id bigint, line_no int, bit int")
+    met = keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(lambda b: repeated(b, "key", ["doc_id", "line_no", "bit"]), "doc_id bigint, line_no int, bit int")
     wanted = met.groupBy("doc_id", "line_no").agg(F.bit_or("bit").alias("mask")).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "mask")).alias("lines"))
     # Of rows that share doc_id some may have fewer lines than another: then they haven't the line that is meant.
     enough = F.size(F.split("text", "\n")) > F.array_max(F.transform("lines", lambda x: x["line_no"]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, pieces, whole_groups, write_table
+from cairn.llm.common import column, pieces, repeated, whole_groups, write_table
 from cairn.llm.textkernel import Words, grams, words
 
 LEAST = 50
@@ -156,14 +156,6 @@ def _spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 rows = pa.array(row[anchor])
                 yield pa.RecordBatch.from_pydict({"key": column(h[anchor]), "doc_id": part.column("doc_id").take(rows), "text_hash": part.column("text_hash").take(rows), "at": pa.array((at - w.first[:-1][row])[anchor].astype(np.int32))})
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches, "key"):
-            key = np.asarray(group.column("key"))
-            same = key[1:] == key[:-1]
-            use = np.r_[same, False] | np.r_[False, same]
-            if use.any():
-                yield from group.select(["doc_id", "text_hash", "at"]).filter(pa.array(use)).combine_chunks().to_batches()
-
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
@@ -211,7 +203,7 @@ def _spans(docs: DataFrame, least: int, gram: int) -> DataFrame:
             })
 
     marks = docs.mapInArrow(anchors, "key bigint, doc_id bigint, text_hash bigint, at int")
-    often = marks.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(repeated, "doc_id bigint, text_hash bigint, at int")
+    often = marks.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(lambda b: repeated(b, "key", ["doc_id", "text_hash", "at"]), "doc_id bigint, text_hash bigint, at int")
     lists = often.groupBy("doc_id", "text_hash").agg(F.collect_list("at").alias("at"))
     near = docs.join(lists, ["doc_id", "text_hash"]).mapInArrow(windows, "key bigint, doc_id bigint, text_hash bigint, start int, n int, words binary")
     runs = near.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(longest, "doc_id bigint, text_hash bigint, start int, stop int, first_doc_id bigint, first_word int")

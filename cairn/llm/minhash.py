@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, pieces, whole_groups, write_table
+from cairn.llm.common import column, pieces, repeated, whole_groups, write_table
 from cairn.llm.components import components
 from cairn.llm.textkernel import grams, mix, spans_hash, words
 
@@ -135,12 +135,7 @@ def near_edges(sigs: DataFrame, parts: int = PARTS, most: int = MOST) -> DataFra
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Only keys that two nodes have."""
-        for group in whole_groups(batches, "key"):
-            key = np.asarray(group.column("key"))
-            same = key[1:] == key[:-1]
-            use = np.r_[same, False] | np.r_[False, same]
-            if use.any():
-                yield from group.filter(pa.array(use)).combine_chunks().to_batches()
+        return repeated(batches, "key", ["key", "node"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "key"):

@@ -6,6 +6,7 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cairn.llm.common import repeated, whole_groups
 from cairn.llm.textkernel import grams, spans_hash, words
 from cairn.llm.tokens import encoder
 
@@ -47,3 +48,14 @@ def test_token_ids_are_the_encoder_s_own():
     ids, off = e.encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert e.direct.encode_ordinary(t or "") == ids[off[i] : off[i + 1]].tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=20), st.integers(1, 5))
+def test_repeated_keys_over_batches(keys, size):
+    keys = sorted(keys)
+    batches = [pa.RecordBatch.from_pydict({"key": keys[i : i + size], "at": list(range(i, min(len(keys), i + size)))}) for i in range(0, len(keys), size)]
+    got = [x for b in repeated(iter(batches), "key", ["at"]) for x in b.column(0).to_pylist()]
+    assert got == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+    groups = [t.column("key").to_pylist() for t in whole_groups(iter(batches), "key")]
+    assert sum(groups, []) == keys and all(a[-1] != b[0] for a, b in zip(groups, groups[1:]))
