@@ -15,7 +15,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_trec(spark: SparkSession, path: str) -> DataFrame:
     """(docno, text) of files of ``<DOC>`` ... ``</DOC>`` records."""
-    rows = spark.read.option("lineSep", "</DOC>").text(path).filter(F.trim("value") != "")
+    rows = spark.read.option("lineSep", "</DOC>").text(path).filter(F.col("value").rlike(r"\S"))
     return rows.select(F.regexp_extract("value", r"<DOCNO>\s*(.*?)\s*</DOCNO>", 1).alias("docno"), F.concat("value", F.lit("</DOC>")).alias("text"))
 
 
