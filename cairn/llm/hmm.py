@@ -1,8 +1,9 @@
 """Language-model scores from a hidden Markov model over words.
 
 Symbols are the ``VOCABULARY`` most frequent words of all documents; other words fall into ``BUCKETS`` symbols by their hash. Word
-counts cover every document. Baum-Welch trains: in each of ``ROUNDS`` passes over the whole corpus every task runs the
-forward-backward recursion on its documents, in segments of ``SEGMENT`` words, and emits expected counts; these are
+counts cover every document. Baum-Welch trains until it converges: passes over the whole corpus go on until the relative gain of the log-likelihood
+was at most ``TOLERANCE`` in two passes in a row. A model that is not yet better than the words' plain frequencies may be on the
+plateau before the states part; it stops only at ``PLATEAU`` times that gain. In each pass every task runs the forward-backward recursion on its documents, in segments of ``SEGMENT`` words, and emits expected counts; these are
 summed by symbol across partitions, and the new parameters follow. A score is the exact log-likelihood of a
 document's whole sequence of symbols, by the scaled forward recursion.
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import column, pieces, write_table
 from cairn.llm.textkernel import mix, words
 
-STATES, VOCABULARY, BUCKETS, ROUNDS, SEGMENT = 8, 32_768, 512, 3, 64
+STATES, VOCABULARY, BUCKETS, SEGMENT = 8, 32_768, 512, 64
+TOLERANCE, PLATEAU = 1e-4, 1e-3
+SPREAD, STAY = 4.0, 8.0  #: logarithmic range of the first emissions' noise, and weight of staying in a state: both tell the states apart from the first pass on
 PRIOR = 0.1  #: added to every expected count
 MODEL_BYTES = 64 << 20
 
@@ -39,6 +42,7 @@ class Model:
     start: np.ndarray  #: by state
     move: np.ndarray  #: state to state
     emit: np.ndarray  #: a row of each symbol, by state
+    plain: float = -np.inf  #: log-likelihood of the words of training by their frequencies alone
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         other = (len(self.known) + (h % np.uint64(self.buckets)).astype(np.int64)).astype(np.uint16)
@@ -164,10 +168,11 @@ def initial(counts: DataFrame, states: int = STATES, vocabulary: int = VOCABULAR
         share[len(known) + r["b"]] = r["n"]
     np.subtract.at(share, len(known) + (known % np.uint64(buckets)).astype(np.int64), n)
     salt = np.concatenate([known, np.arange(buckets, dtype=np.uint64)])[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-    noise = np.exp((mix(salt) >> np.uint64(11)) / float(1 << 53) - 0.5)
+    noise = np.exp(SPREAD * ((mix(salt) >> np.uint64(11)) / float(1 << 53) - 0.5))
     emit = (share[:, None] + PRIOR) * noise
-    move = np.full((states, states), 1.0) + np.eye(states)
-    return Model(known, buckets, np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    move = np.full((states, states), 1.0) + STAY * np.eye(states)
+    seen = share[share > 0]
+    return Model(known, buckets, np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0), float((seen * np.log(seen / seen.sum())).sum()))
 
 
 def round_of(coded: DataFrame, model: Model, segment: int = SEGMENT) -> tuple[Model, float]:
@@ -199,15 +204,25 @@ def round_of(coded: DataFrame, model: Model, segment: int = SEGMENT) -> tuple[Mo
     for k in range(states):
         moves[k] += table[label == -2 - k].sum(0)
     like = float(table[label == -2 - states].sum())
-    return Model(model.known, model.buckets, start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0)), like
+    return Model(model.known, model.buckets, start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0), model.plain), like
 
 
-def train(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The trained model and the documents' symbols (doc_id, symbols), as a table in the shared folder."""
+def converged(likes: list[float], plain: float) -> bool:
+    """Whether the log-likelihoods of the passes so far have come to rest; that of a corpus without words is 0."""
+    if likes and likes[-1] == 0:
+        return True
+    most = TOLERANCE if likes and likes[-1] > plain else TOLERANCE * PLATEAU
+    return len(likes) > 2 and all(b - a <= most * abs(a) for a, b in zip(likes[-3:], likes[-2:]))
+
+
+def train(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, rounds: int | None = None) -> tuple[Model, DataFrame]:
+    """The trained model and the documents' symbols (doc_id, symbols), as a table in the shared folder. Without ``rounds`` passes go on until they converge."""
     model = initial(write_table(word_counts(docs), "counts"), states, vocabulary, buckets)
     coded = write_table(_encode(docs, model), "symbols")
-    for _ in range(rounds):
-        model, _ = round_of(coded, model)
+    likes: list[float] = []
+    while len(likes) < rounds if rounds is not None else not converged(likes, model.plain):
+        model, like = round_of(coded, model)
+        likes.append(like)
     return model, coded
 
 
@@ -230,6 +245,6 @@ def score(coded: DataFrame, model: Model) -> DataFrame:
     return coded.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")
 
 
-def score_corpus(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_corpus(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     model, coded = train(docs, rounds=rounds)
     return score(coded, model)

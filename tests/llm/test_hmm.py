@@ -75,3 +75,23 @@ def test_edges(spark, edges, nothing):
     assert next(r for r in rows if r.doc_id == 7).n_tokens == 20_000
     assert len({r.log_likelihood for r in rows if r.doc_id == 5}) == 1
     assert hmm.score_corpus(nothing, rounds=1).count() == 0
+
+
+def test_training_goes_on_until_it_beats_plain_frequencies_on_held_out_text(spark):
+    r = np.random.default_rng(3)
+    topics = [[f"t{k}w{i}" for i in range(40)] for k in range(4)]
+    texts = [" ".join(r.choice(topics[i % 4], 60)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts[:320])), "doc_id bigint, text string")
+    held = spark.createDataFrame(list(enumerate(texts[320:])), "doc_id bigint, text string")
+    m, _ = hmm.train(docs)
+    n = {}
+    for w in " ".join(texts[:320]).split():
+        n[w] = n.get(w, 0) + 1
+    plain = np.mean([np.log(n[w] / 19_200) for w in " ".join(texts[320:]).split()])
+    assert np.mean([x.per_token for x in hmm.score(hmm._encode(held, m), m).collect()]) > plain + 0.5
+
+
+def test_a_plateau_below_plain_frequencies_is_not_convergence():
+    assert not hmm.converged([-101.0, -100.0, -99.999, -99.998], -99.0)
+    assert hmm.converged([-101.0, -98.0, -97.999, -97.998], -99.0)
+    assert not hmm.converged([-101.0, -98.0], -99.0) and hmm.converged([0.0], 0.0)
