@@ -42,6 +42,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete one table that ``write_table`` made."""
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for path in [p for p in _written if p.rsplit("/", 1)[-1] in names]:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every table that ``write_table`` made in this process. Results that still read them end."""
     jvm = spark.sparkContext._jvm

@@ -1,55 +1,75 @@
 """Language-model scores from a hidden Markov model over words.
 
-Symbols are the ``VOCABULARY`` most frequent words of all documents; other words fall into ``BUCKETS`` symbols by their hash. Word
-counts cover every document. Baum-Welch trains until it converges: passes over the whole corpus go on until the relative gain of the log-likelihood
+Every word of the corpus is a symbol, so the model grows with what it reads. Documents are packed into chunks of about ``CHUNK`` bytes of text, each
+with the sorted hashes of its different words and its text as numbers of these. Emissions are a table by word, in parts by the upper bits of the hash: a
+part's task sums the counts of its words and answers what each chunk asks for, and a chunk's task joins the answers to its text. Nobody holds
+the whole table.
+
+Baum-Welch trains until it converges: passes over the whole corpus go on until the relative gain of the log-likelihood
 was at most ``TOLERANCE`` in two passes in a row. A model that is not yet better than the words' plain frequencies may be on the
-plateau before the states part; it stops only at ``PLATEAU`` times that gain. In each pass every task runs the forward-backward recursion on its documents, in segments of ``SEGMENT`` words, and emits expected counts; these are
-summed by symbol across partitions, and the new parameters follow. A score is the exact log-likelihood of a
-document's whole sequence of symbols, by the scaled forward recursion.
+plateau before the states part; it stops only at ``PLATEAU`` times that gain. In each pass every task runs the forward-backward
+recursion on its documents, in segments of ``SEGMENT`` words, and emits expected counts, from which the new parameters follow. A score is
+the exact log-likelihood of a document's whole sequence of symbols, by the scaled forward recursion.
 
-What goes to every task are the model's tables, (VOCABULARY + BUCKETS) x STATES numbers, whatever the corpus. ``train`` refuses
-parameters that would make them larger than ``MODEL_BYTES``.
+For scores, words that training never saw get the share of words that it saw once (Good-Turing), spread evenly over as many as there are by the
+estimate of Chao, or over so many more that one has at most half of what a word seen once has; the others give it up in proportion.
 
 Defined cases. A text that is null or without a word has n_tokens 0 and null scores. Repeated rows get equal rows; a null doc_id is carried along.
-Ties for the last place in the vocabulary are broken by the words' hashes. Very long texts are one sequence. An empty table gives an empty
-result. Extra columns are not read.
+A ``vocabulary`` may be given: then all but the most frequent words (ties are broken by hash) share ``buckets`` symbols. Very long texts are one
+sequence. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, pieces, write_table
+from cairn.llm.common import column, drop_table, pieces, write_table
 from cairn.llm.textkernel import mix, words
 
-STATES, VOCABULARY, BUCKETS, SEGMENT = 8, 32_768, 512, 64
+STATES, SEGMENT = 8, 64
 TOLERANCE, PLATEAU = 1e-4, 1e-3
 SPREAD, STAY = 4.0, 8.0  #: logarithmic range of the first emissions' noise, and weight of staying in a state: both tell the states apart from the first pass on
 PRIOR = 0.1  #: added to every expected count
-MODEL_BYTES = 64 << 20
+CHUNK = 8 << 20  #: bytes of text
+PART = 1 << 15  #: words of a part of the emissions, about
+COUNTS = "part int, chunk bigint, words binary, counts binary"
 
 
 @dataclass
 class Model:
-    known: np.ndarray  #: sorted hashes of the vocabulary
+    """What the recursions need: all parameters, for the words of one chunk."""
+
+    known: np.ndarray  #: sorted hashes of the words
     buckets: int
     start: np.ndarray  #: by state
     move: np.ndarray  #: state to state
     emit: np.ndarray  #: a row of each symbol, by state
-    plain: float = -np.inf  #: log-likelihood of the words of training by their frequencies alone
 
-    def symbols(self, h: np.ndarray) -> np.ndarray:
-        other = (len(self.known) + (h % np.uint64(self.buckets)).astype(np.int64)).astype(np.uint16)
-        if not len(self.known):
-            return other
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        return np.where(self.known[at] == h, at.astype(np.uint16), other)
+
+@dataclass
+class Trained:
+    known: np.ndarray | None  #: sorted hashes of the vocabulary; none if every word is a symbol
+    buckets: int
+    start: np.ndarray
+    move: np.ndarray
+    table: DataFrame  #: COUNTS: each word's expected counts by state, in pieces to be summed
+    sums: np.ndarray  #: by state, of all words, PRIOR included
+    size: int  #: how many symbols
+    bits: int  #: of a hash that name its part
+    unseen: tuple[float, float]  #: the share of all words not seen in training, and that of each
+    plain: float  #: log-likelihood of the words of training by their frequencies alone
+
+    def code(self) -> Callable[[np.ndarray], np.ndarray]:
+        known, buckets = self.known, self.buckets
+        return lambda h: h if known is None else np.where(np.isin(h, known), h, h % np.uint64(buckets))
 
 
 def forward(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -127,84 +147,155 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _encode(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, symbols): two bytes a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _encode(docs: DataFrame, model: Trained) -> DataFrame:
+    """(chunk, known, symbols, size, doc_id): the words of many documents as places among the chunk's different ones, four bytes a word."""
+    code = model.code()
+
+    def pack(chunk: int, held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        known, symbols = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
+        ids = pa.concat_arrays([d for d, _, _ in held])
+        size = np.concatenate([n for _, n, _ in held]).astype(np.int64)
+        row = {"chunk": [chunk], "known": [known.tobytes()], "symbols": [symbols.astype(np.uint32).tobytes()], "size": [size.tobytes()]}
+        return pa.RecordBatch.from_pydict(row | {"doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, n = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                flat = shared.value.symbols(w.hash)
-                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((w.first * 2).astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), data], ["doc_id", "symbols"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, symbols binary")
-
-
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    col = batch.column("symbols")
-    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    data = col.buffers()[2]
-    flat = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
-    return flat.view(np.uint16), (off - off[0]) // 2
-
-
-def initial(counts: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, seed: int = 5) -> Model:
-    size = vocabulary + buckets
-    if size > 1 << 16 or size * states * 8 > MODEL_BYTES:
-        raise ValueError("the model's tables would be too large")
-    if buckets & (buckets - 1):
-        raise ValueError("the number of buckets must be a power of two")
-    top = counts.orderBy(F.desc("n"), "h").limit(vocabulary)
-    rows = top.toArrow()
-    known = np.asarray(rows.column("h").combine_chunks()).view(np.uint64)
-    n = np.asarray(rows.column("n").combine_chunks()).astype(float)
-    order = np.argsort(known)
-    known, n = known[order], n[order]
-    share = np.concatenate([n, np.zeros(buckets)])
-    whole = counts.withColumn("b", F.col("h").bitwiseAND(F.lit(buckets - 1).cast("bigint")).cast("int"))
-    for r in whole.groupBy("b").agg(F.sum("n").alias("n")).collect():
-        share[len(known) + r["b"]] = r["n"]
-    np.subtract.at(share, len(known) + (known % np.uint64(buckets)).astype(np.int64), n)
-    salt = np.concatenate([known, np.arange(buckets, dtype=np.uint64)])[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-    noise = np.exp(SPREAD * ((mix(salt) >> np.uint64(11)) / float(1 << 53) - 0.5))
-    emit = (share[:, None] + PRIOR) * noise
-    move = np.full((states, states), 1.0) + STAY * np.eye(states)
-    seen = share[share > 0]
-    return Model(known, buckets, np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0), float((seen * np.log(seen / seen.sum())).sum()))
-
-
-def round_of(coded: DataFrame, model: Model, segment: int = SEGMENT) -> tuple[Model, float]:
-    """One Baum-Welch pass over all documents: the new model, and the log-likelihood under the old one."""
-    states, size = len(model.start), len(model.emit)
-    shared = coded.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{k}" for k in range(states)]
+                held.append((part.column("doc_id"), np.diff(w.first), code(w.hash)))
+                n += len(w.flat)
+                if n >= CHUNK:
+                    yield pack(chunk, held)
+                    chunk, held, n = chunk + 1, [], 0
+        if held:
+            yield pack(chunk, held)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk bigint, known binary, symbols binary, size binary, doc_id array<bigint>")
+
+
+def _parts(chunk: int, known: np.ndarray, counts: np.ndarray | None, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+    """Rows of COUNTS of sorted words."""
+    part = (known >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if b > a:
+            yield int(part[a]), chunk, known[a:b].tobytes(), None if counts is None else counts[a:b].astype(np.float32).tobytes()
+
+
+def _rows(rows: list[tuple[int, int, bytes | None, bytes | None]]) -> dict[str, pa.Array]:
+    kinds = {"part": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "counts": pa.binary()}
+    return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
+
+
+def _totals(table: DataFrame, n: int) -> np.ndarray:
+    """The sum of the rows of part -1: starts, moves, log-likelihood, states."""
+    return sum((np.frombuffer(r[0]) for r in table.filter("part = -1").orderBy("chunk").select("counts").collect()), np.zeros(n))
+
+
+def initial(counts: DataFrame, states: int = STATES, vocabulary: int | None = None, buckets: int = 0, seed: int = 5) -> Trained:
+    known = None
+    if vocabulary is not None:
+        known = np.sort(np.asarray(counts.orderBy(F.desc("n"), "h").limit(vocabulary).select("h").toArrow().column("h").combine_chunks()).view(np.uint64))
+    model = Trained(known, buckets, np.full(states, 1 / states), np.full((states, states), 1.0) + STAY * np.eye(states), counts, np.ones(states), 0, 4, (0.0, 0.0), 0.0)
+    model.move /= model.move.sum(1, keepdims=True)
+    if known is not None:
+        code = model.code()
+
+        def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"h": column(code(np.asarray(b.column("h")).view(np.uint64))), "n": b.column("n")})
+
+        counts = counts.mapInArrow(renamed, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    size, total, once, twice, logs = (x or 0 for x in counts.agg(F.count("*"), F.sum("n"), F.sum((F.col("n") == 1).cast("bigint")), F.sum((F.col("n") == 2).cast("bigint")), F.sum(F.col("n") * F.log("n"))).first())
+    bits = model.bits = max(4, (size // PART).bit_length())
+    share = (once + 1) / (total + 2)
+    model.size, model.unseen = size, (share, share / max(1.0, once * (once - 1) / (2 * (twice + 1)), 2 * total * share / (1 - share)))
+    model.plain = logs - total * float(np.log(max(1, total)))
+
+    def noisy(known: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        by = np.argsort(known)
+        known, n = known[by], n[by]
+        salt = known[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        emit = (n[:, None] + PRIOR) * np.exp(SPREAD * ((mix(salt) >> np.uint64(11)) / float(1 << 53) - 0.5))
+        rows = [*_parts(0, known, emit - PRIOR, bits), (-1, 0, None, np.r_[np.zeros(states + states * states + 1), emit.sum(0)].tobytes())]
+        yield pa.RecordBatch.from_pydict(_rows(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        counts, start, moves, like = np.zeros((size, states)), np.zeros(states), np.zeros((states, states)), 0.0
-        for batch in batches:
-            flat, offsets = _flat(batch)
-            first, length = segments(offsets, segment)
-            for a in range(0, len(first), 8192):
-                s, mv, ll = expected(m, flat, first[a : a + 8192], length[a : a + 8192], counts)
-                start, moves, like = start + s, moves + mv, like + ll
-        some = np.flatnonzero(counts.any(1))
-        table = np.vstack([counts[some], start, moves, np.r_[like, np.zeros(states - 1)]])
-        label = np.r_[some, -1, -2 - np.arange(states), -2 - states]
-        yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(states))], ["label", *names])
-
-    sums = coded.select("symbols").mapInArrow(run, "label int, " + ", ".join(f"{n} double" for n in names)).groupBy("label").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-    label = np.asarray(sums.column("label").combine_chunks())
-    table = np.stack([np.asarray(sums.column(n).combine_chunks()) for n in names], 1) if len(label) else np.zeros((0, states))
-    emit, start, moves, like = np.full((size, states), PRIOR), np.full(states, PRIOR), np.full((states, states), PRIOR), 0.0
-    emit[label[label >= 0]] += table[label >= 0]
-    start += table[label == -1].sum(0)
-    for k in range(states):
-        moves[k] += table[label == -2 - k].sum(0)
-    like = float(table[label == -2 - states].sum())
-    return Model(model.known, model.buckets, start / start.sum(), moves / moves.sum(1, keepdims=True), emit / emit.sum(0), model.plain), like
+        held, n = [], 0
+        for b in batches:
+            held.append((np.asarray(b.column("h")).view(np.uint64), np.asarray(b.column("n")).astype(float)))
+            n += b.num_rows
+            if n >= 1 << 20:
+                yield from noisy(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if held:
+            yield from noisy(*map(np.concatenate, zip(*held)))
+
+    model.table = write_table(counts.select("h", "n").mapInArrow(run, COUNTS), "emissions")
+    model.sums = _totals(model.table, 2 * states + states * states + 1)[-states:]
+    return model
+
+
+def _joined(coded: DataFrame, model: Trained, work: Callable[[int, Model, np.ndarray, np.ndarray, pa.Table], dict], schema: str, columns: list[str], scoring: bool) -> DataFrame:
+    """What ``work(chunk, model of its words, symbols, offsets, row)`` gives for every chunk. When scoring, unseen words have their share."""
+    states, bits, sums, start, move = len(model.start), model.bits, model.sums, model.start, model.move
+    share, each = model.unseen if scoring else (0.0, 0.0)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, known in zip(b.column("chunk").to_pylist(), b.column("known")):
+                yield pa.RecordBatch.from_pydict(_rows(list(_parts(chunk, np.frombuffer(known.as_buffer(), np.uint64), None, bits))))
+
+    def answer(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk").combine_chunks()
+        rows = [(t["chunk"][i].as_py(), np.frombuffer(t["words"][i].as_buffer(), np.uint64), t["counts"][i].as_buffer()) for i in range(t.num_rows)]
+        given = [(w, np.frombuffer(c, np.float32).reshape(-1, states)) for _, w, c in rows if c is not None]
+        h, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in given)]), return_inverse=True)
+        table = np.full((len(h) + 1, states), each)
+        if given:
+            c = np.concatenate([c for _, c in given])
+            for k in range(states):
+                table[:-1, k] = (np.bincount(at, c[:, k], len(h)) + PRIOR) / sums[k] * (1 - share)
+        table, out, part = table.astype(np.float32), [], t["part"][0].as_py()
+        for chunk, w, c in rows:
+            if c is None:
+                i = np.searchsorted(h, w)
+                i[np.r_[h, np.uint64(0)][i] != w] = len(h)
+                out.append((part, chunk, None, table[i].tobytes()))
+        return pa.Table.from_pydict(_rows(out))
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        right, out = right.sort_by("part"), []
+        emit = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(c.as_buffer(), np.float32) for c in right["counts"])]).astype(float).reshape(-1, states)
+        for i in range(left.num_rows):
+            row = left.slice(i, 1)
+            known, flat, size = (np.frombuffer(row[c][0].as_buffer(), kind) for c, kind in (("known", np.uint64), ("symbols", np.uint32), ("size", np.int64)))
+            out.append(pa.Table.from_pydict(work(row["chunk"][0].as_py(), Model(known, 0, start, move, emit), flat, np.r_[0, np.cumsum(size)], row)))
+        return pa.concat_tables(out)
+
+    asked = coded.select("chunk", "known").mapInArrow(ask, COUNTS)
+    answers = asked.union(model.table.filter("part >= 0")).groupBy("part").applyInArrow(answer, COUNTS)
+    return coded.select(*columns).groupBy("chunk").cogroup(answers.select("part", "chunk", "counts").groupBy("chunk")).applyInArrow(join, schema)
+
+
+def round_of(coded: DataFrame, model: Trained, segment: int = SEGMENT) -> tuple[Trained, float]:
+    """One Baum-Welch pass over all documents: the new model, and the log-likelihood under the old one."""
+    states, bits = len(model.start), model.bits
+
+    def work(chunk: int, m: Model, flat: np.ndarray, offsets: np.ndarray, row: pa.Table) -> dict:
+        counts, start, moves, like = np.zeros((len(m.known), states)), np.zeros(states), np.zeros((states, states)), 0.0
+        first, length = segments(offsets, segment)
+        for a in range(0, len(first), 8192):
+            s, mv, ll = expected(m, flat, first[a : a + 8192], length[a : a + 8192], counts)
+            start, moves, like = start + s, moves + mv, like + ll
+        return _rows([*_parts(chunk, m.known, counts, bits), (-1, chunk, None, np.r_[start, moves.ravel(), like, counts.sum(0)].tobytes())])
+
+    table = write_table(_joined(coded, model, work, COUNTS, ["chunk", "known", "symbols", "size"], False), "emissions")
+    t = _totals(table, 2 * states + states * states + 1)
+    start, moves = t[:states] + PRIOR, t[states : states + states * states].reshape(states, states) + PRIOR
+    new = Trained(model.known, model.buckets, start / start.sum(), moves / moves.sum(1, keepdims=True), table, t[-states:] + PRIOR * model.size, model.size, bits, model.unseen, model.plain)
+    return new, float(t[-states - 1])
 
 
 def converged(likes: list[float], plain: float) -> bool:
@@ -215,34 +306,34 @@ def converged(likes: list[float], plain: float) -> bool:
     return len(likes) > 2 and all(b - a <= most * abs(a) for a, b in zip(likes[-3:], likes[-2:]))
 
 
-def train(docs: DataFrame, states: int = STATES, vocabulary: int = VOCABULARY, buckets: int = BUCKETS, rounds: int | None = None) -> tuple[Model, DataFrame]:
-    """The trained model and the documents' symbols (doc_id, symbols), as a table in the shared folder. Without ``rounds`` passes go on until they converge."""
+def train(docs: DataFrame, states: int = STATES, vocabulary: int | None = None, buckets: int = 0, rounds: int | None = None) -> tuple[Trained, DataFrame]:
+    """The trained model and the documents' symbols, as a table in the shared folder. Without ``rounds`` passes go on until they converge."""
     model = initial(write_table(word_counts(docs), "counts"), states, vocabulary, buckets)
     coded = write_table(_encode(docs, model), "symbols")
     likes: list[float] = []
     while len(likes) < rounds if rounds is not None else not converged(likes, model.plain):
+        before = model.table
         model, like = round_of(coded, model)
         likes.append(like)
+        drop_table(before)
+        del before
+        gc.collect()
+        docs.sparkSession.sparkContext._jvm.System.gc()  # else the shuffle files of all passes stay
     return model, coded
 
 
-def score(coded: DataFrame, model: Model) -> DataFrame:
+def score(coded: DataFrame, model: Trained) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, per_token)."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offsets = _flat(batch)
-            size = np.diff(offsets)
-            some = size > 0
-            like = np.full(len(size), np.nan)
-            if some.any():
-                like[some] = forward(shared.value, flat, offsets[:-1][some], size[some])
-            with np.errstate(invalid="ignore"):
-                each = like / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(like, from_pandas=True), pa.array(each, from_pandas=True)], ["doc_id", "n_tokens", "log_likelihood", "per_token"])
-
-    return coded.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")
+    def work(chunk: int, m: Model, flat: np.ndarray, offsets: np.ndarray, row: pa.Table) -> dict:
+        size = np.diff(offsets)
+        some = size > 0
+        like = np.full(len(size), np.nan)
+        if some.any():
+            like[some] = forward(m, flat, offsets[:-1][some], size[some])
+        return {"doc_id": row["doc_id"].combine_chunks().flatten(), "n_tokens": pa.array(size), "log_likelihood": pa.array(like, from_pandas=True), "per_token": pa.array(like / np.maximum(size, 1), from_pandas=True)}
+
+    return _joined(coded, model, work, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double", ["chunk", "known", "symbols", "size", "doc_id"], True)
 
 
 def score_corpus(docs: DataFrame, rounds: int | None = None) -> DataFrame:

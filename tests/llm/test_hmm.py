@@ -95,3 +95,23 @@ def test_a_plateau_below_plain_frequencies_is_not_convergence():
     assert not hmm.converged([-101.0, -100.0, -99.999, -99.998], -99.0)
     assert hmm.converged([-101.0, -98.0, -97.999, -97.998], -99.0)
     assert not hmm.converged([-101.0, -98.0], -99.0) and hmm.converged([0.0], 0.0)
+
+
+def test_every_word_has_an_emission_of_its_own_and_unseen_words_share_theirs(spark):
+    rare = [f"rare{i}" for i in range(40_000)]
+    docs = spark.createDataFrame([(0, " ".join(rare)), (1, "known " * 5_000 + " ".join(rare[:20_000]))], "doc_id bigint, text string")
+    m, _ = hmm.train(docs, rounds=2)
+    new = spark.createDataFrame(list(enumerate([*rare, "known", "neverseen", None])), "doc_id bigint, text string")
+    got = {r.doc_id: r.log_likelihood for r in hmm.score(hmm._encode(new, m), m).collect()}
+    p = np.exp([got[i] for i in range(40_002)])
+    assert p[:20_000].mean() > 1.5 * p[20_000:40_000].mean() > 1.5 * p[40_001] > 0 and got[40_002] is None
+    assert np.isclose(p[:40_001].sum() + m.unseen[0], 1, atol=1e-4) and np.isclose(p[40_001], m.unseen[1], rtol=1e-4)
+
+
+def test_chunks_do_not_change_the_scores(spark, documents, monkeypatch):
+    docs = documents.limit(60)
+    whole = {r.doc_id: r.log_likelihood for r in hmm.score_corpus(docs, rounds=2).collect()}
+    monkeypatch.setattr(hmm, "CHUNK", 1)
+    monkeypatch.setattr("cairn.llm.hmm.pieces", lambda b, c: (b.slice(i, 7) for i in range(0, b.num_rows, 7)))
+    cut = {r.doc_id: r.log_likelihood for r in hmm.score_corpus(docs, rounds=2).collect()}
+    assert whole.keys() == cut.keys() and all(np.isclose(whole[k], cut[k], rtol=1e-4) for k in whole if whole[k] is not None)
