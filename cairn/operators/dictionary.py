@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 
 from cairn.functions.hashing import gram_hashes
 from cairn.operators.blocks import BLOCK_SIZE, extract
+from cairn.plans.scratch import write_table
 
 SAMPLE = 1024
-MAX_SAMPLED = 1 << 22  #: sampled runs that coverage and assembly keep at most, by sampling less of a longer text
+SHARD = 1 << 22  #: different sampled runs that go to every task at once, about; the text is read once for each so many
 
 
 def text_size(blocks: DataFrame) -> int:
@@ -51,8 +54,9 @@ def uniform(blocks: DataFrame, budget: int, sample: int = SAMPLE, block_size: in
     return b"".join(bytes(r[0]) for r in rows)
 
 
-def _sampled(blocks: DataFrame, k: int, down: int, seed: int) -> np.ndarray:
-    """Sorted hashes of a sample of the k-byte runs inside blocks, with repeats: the places whose own hash is 0 modulo ``down``."""
+def kgram_sample(blocks: DataFrame, k: int = 16, down: int = 512, seed: int = 2, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """(h, n): the different hashes of a sample of the k-byte runs inside blocks, and how often each is in it. Sampled are the places whose own hash is 0 modulo
+    ``down``, whatever the size of the text."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,60 +66,81 @@ def _sampled(blocks: DataFrame, k: int, down: int, seed: int) -> np.ndarray:
                 at = (at ^ (at >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h[(at >> np.uint64(20)) % np.uint64(down) == 0])})
 
-    return np.sort(np.asarray(blocks.select("block_id", "content").mapInArrow(pick, "h bigint").toArrow().column("h").combine_chunks()))
+    return blocks.select("block_id", "content").mapInArrow(pick, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
 
 
-def kgram_sample(blocks: DataFrame, k: int = 16, down: int = 512, seed: int = 2, block_size: int = BLOCK_SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Different hashes of the sample, and how often each is in it."""
-    return np.unique(_sampled(blocks, k, max(down, -(-text_size(blocks) // MAX_SAMPLED)), seed), return_counts=True)
+def _found(blocks: DataFrame, sample: DataFrame, find: Callable[..., Iterator[dict]], schema: str) -> DataFrame:
+    """What ``find(block, data, sorted hashes, their counts)`` gives for all blocks and each shard of the sample in turn."""
+    sample = write_table(sample, "sample")
+    shards, out = max(1, -(-sample.count() // SHARD)), []
+    for shard in range(shards):
+        rows = sample.filter(F.pmod("h", F.lit(shards)) == shard).toArrow()
+        h, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("h", "n"))
+        by = np.argsort(h)
+        shared = blocks.sparkSession.sparkContext.broadcast((h[by], n[by]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            known, often = shared.value
+            for batch in batches:
+                for block, data in zip(batch.column("block_id").to_pylist(), batch.column("content").to_pylist()):
+                    for found in find(block, data, known, often) if len(known) else ():
+                        yield pa.RecordBatch.from_pydict(found)
+
+        out.append(write_table(blocks.select("block_id", "content").mapInArrow(run, schema), "found"))
+        shared.destroy()
+    return reduce(DataFrame.union, out)
 
 
 def coverage(blocks: DataFrame, budget: int, sample: int = SAMPLE, k: int = 16, down: int = 512, norm: float = 0.5, order: str = "rand", seed: int = 2, block_size: int = BLOCK_SIZE) -> bytes:
     """Of each epoch (a run of samples; as many epochs as samples fit the budget) the sample that covers most: the norm of the frequencies of its different sampled
     runs that no sample chosen before has. Epochs are visited in a seeded random order, or ``order="seq"``; the later of equal samples wins, and where none covers anything the first. Norm 0
-    counts runs. Which runs each sample has is found in parallel, the choice is one after another over these few."""
+    counts runs. Which runs each sample has is found in parallel; the choice is one after another, in one task that reads the samples as a stream and holds
+    the runs covered so far, and only the chosen samples come to the driver."""
     n = text_size(blocks)
     if not n:
         return b""
-    hashes, freq = kgram_sample(blocks, k, down, seed)
     picks = max(1, budget // sample)
     total = -(-n // sample)
     per = max(1, total // picks)
-    shared = blocks.sparkSession.sparkContext.broadcast(hashes)
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            for block, data in zip(batch.column("block_id").to_pylist(), batch.column("content").to_pylist()):
-                h = gram_hashes(data, k)
-                if not len(h) or not len(known):
-                    continue
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                at = np.flatnonzero(known[i] == h)
-                pair = np.unique(np.stack([(block * block_size + at) // sample, i[at]], 1), axis=0)
-                yield pa.RecordBatch.from_pydict({"s": pa.array(pair[:, 0].astype(np.int64)), "i": pa.array(pair[:, 1].astype(np.int64))})
-
-    rows = blocks.select("block_id", "content").mapInArrow(hits, "s bigint, i bigint").distinct().toArrow()
-    s, i = (np.asarray(rows.column(c).combine_chunks()) for c in ("s", "i"))
-    by = np.lexsort((i, s))
-    s, i = s[by], i[by]
     epochs = np.arange(-(-total // per))
     if order == "rand":
         epochs = np.random.default_rng(seed).permutation(epochs)
-    weight = np.ones(len(freq)) if norm == 0 else freq.astype(float) ** norm
-    covered, chosen = np.zeros(len(hashes), bool), []
-    for e in epochs[:picks].tolist():
-        best, score = e * per, 0.0
-        for c in range(e * per, min(total, (e + 1) * per)):
-            a, b = np.searchsorted(s, [c, c + 1])
-            new = i[a:b][~covered[i[a:b]]]
-            value = float(weight[new].sum())
-            value = value if norm == 0 else value ** (1 / norm)
-            if value > 0 and value >= score:
-                best, score = c, value
-        a, b = np.searchsorted(s, [best, best + 1])
-        covered[i[a:b]] = True
-        chosen.append(best)
+    epochs = epochs[:picks]
+    rank = np.full(-(-total // per), -1)
+    rank[epochs] = np.arange(len(epochs))
+
+    def hits(block: int, data: bytes, known: np.ndarray, often: np.ndarray) -> Iterator[dict]:
+        h = gram_hashes(data, k)
+        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        at = np.flatnonzero(known[i] == h)
+        pair = np.unique(np.stack([(block * block_size + at) // sample, i[at]], 1), axis=0)
+        pair = pair[rank[pair[:, 0] // per] >= 0]
+        cut = np.r_[0, np.flatnonzero(np.diff(pair[:, 0])) + 1, len(pair)]
+        some = [(a, b) for a, b in zip(cut[:-1], cut[1:]) if b > a]
+        s = pair[[a for a, _ in some], 0].astype(np.int64)
+        runs, counts = ([x[pair[a:b, 1]].astype(np.int64).tobytes() for a, b in some] for x in (known, often))
+        yield {"rank": pa.array(rank[s // per].astype(np.int64)), "s": pa.array(s), "runs": pa.array(runs, pa.binary()), "counts": pa.array(counts, pa.binary())}
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        covered: set[int] = set()
+        rows = ((r["rank"], r["s"], np.frombuffer(r["runs"], np.int64), np.frombuffer(r["counts"], np.int64)) for b in batches for a in range(0, b.num_rows, 1024) for r in b.slice(a, 1024).to_pylist())
+        for turn, samples in groupby(rows, lambda r: r[0]):
+            best, score, has = -1, 0.0, None
+            for c, parts in groupby(samples, lambda r: r[1]):
+                _, _, h, f = zip(*parts)
+                h, first = np.unique(np.concatenate(h), return_index=True)
+                new = np.array([x not in covered for x in h.tolist()], bool)
+                f = np.concatenate(f)[first][new]
+                value = float(len(f) if norm == 0 else (f.astype(float) ** norm).sum() ** (1 / norm))
+                if value > 0 and value >= score:
+                    best, score, has = c, value, h
+            if has is not None:
+                covered.update(has.tolist())
+                yield pa.RecordBatch.from_pydict({"rank": pa.array([turn], pa.int64()), "s": pa.array([best], pa.int64())})
+
+    found = _found(blocks, kgram_sample(blocks, k, down, seed), hits, "rank bigint, s bigint, runs binary, counts binary")
+    won = {r["rank"]: r["s"] for r in found.repartition(1).sortWithinPartitions("rank", "s").mapInArrow(choose, "rank bigint, s bigint").collect()}
+    chosen = [won.get(i, e * per) for i, e in enumerate(epochs.tolist())]
     asked = blocks.sparkSession.createDataFrame([(c, c * sample, min(sample, n - c * sample)) for c in sorted(chosen)], "req_id bigint, off bigint, len bigint")
     return b"".join(bytes(r[0]) for r in extract(blocks, asked, block_size).orderBy("req_id").select("content").collect())
 
@@ -123,24 +148,25 @@ def coverage(blocks: DataFrame, budget: int, sample: int = SAMPLE, k: int = 16,
 def segments(blocks: DataFrame, k: int = 16, down: int = 128, longest: int = 1024, seed: int = 2, disjoint: bool = False, block_size: int = BLOCK_SIZE) -> DataFrame:
     """(text_pos, content): the longest runs of places whose k-byte runs are all in the sample; equal segments once, the first of them.
     With ``disjoint`` places step by k, so segments are whole chunks."""
-    hashes, _ = kgram_sample(blocks, k, down, seed)
-    shared = blocks.sparkSession.sparkContext.broadcast(hashes)
     step = k if disjoint else 1
 
+    def hits(block: int, data: bytes, known: np.ndarray, often: np.ndarray) -> Iterator[dict]:
+        h = gram_hashes(data, k)[::step]
+        on = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        if on.any():
+            yield {"block_id": pa.array([block], pa.int64()), "places": pa.array([zlib.compress(np.packbits(on).tobytes(), 1)], pa.binary())}
+
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            for block, data in zip(batch.column("block_id").to_pylist(), batch.column("content").to_pylist()):
-                h = gram_hashes(data, k)[::step]
-                if not len(h) or not len(known):
-                    continue
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                on = np.r_[False, known[i] == h, False].astype(np.int8)
+            for block, data, places in zip(*(batch.column(c).to_pylist() for c in ("block_id", "content", "places"))):
+                bits = reduce(np.bitwise_or, (np.frombuffer(zlib.decompress(x), np.uint8) for x in places))
+                on = np.r_[False, np.unpackbits(bits).astype(bool), False].astype(np.int8)
                 begin, end = np.flatnonzero(np.diff(on) == 1) * step, (np.flatnonzero(np.diff(on) == -1) - 1) * step + k
                 ok = end - begin <= longest
                 yield pa.RecordBatch.from_pydict({"text_pos": pa.array(begin[ok] + block * block_size, pa.int64()), "content": pa.array([data[a:b] for a, b in zip(begin[ok], end[ok])], pa.binary())})
 
-    found = blocks.select("block_id", "content").mapInArrow(grow, "text_pos bigint, content binary")
+    places = _found(blocks, kgram_sample(blocks, k, down, seed), hits, "block_id bigint, places binary").groupBy("block_id").agg(F.collect_list("places").alias("places"))
+    found = blocks.select("block_id", "content").join(places, "block_id").mapInArrow(grow, "text_pos bigint, content binary")
     return found.groupBy("content").agg(F.min("text_pos").alias("text_pos")).select("text_pos", "content")
 
 

@@ -7,6 +7,7 @@ import pytest
 from cairn.operators import dictionary, prune, sketch, stats, store
 from cairn.operators.blocks import extract, to_blocks
 from cairn.plans import queries as Q
+from cairn.plans.scratch import write_table
 from cairn.sources.corpus import doc_order, read_files, read_trec, sanitize, to_corpus
 
 SF = "/root/testdata/sf0.001"
@@ -156,3 +157,12 @@ def test_streamed_documents(spark, tmp_path):
     append(stream, s, str(tmp_path / "out"), checkpointLocation=str(tmp_path / "c")).awaitTermination()
     got = {r.block_id: bytes(r.content).decode() for r in appended(s, str(tmp_path / "out")).collect()}
     assert got == {1: "some words to share", 2: "", 3: "new é words"}
+
+
+def test_sampling_rate_and_dictionaries_do_not_depend_on_what_fits_a_task(spark, monkeypatch):
+    b = write_table(Q._blocks(spark, SF).filter("block_id < 8"), "blocks")
+    run = lambda: (dictionary.coverage(b, 8 << 10, down=32, block_size=Q.B), sorted((r.text_pos, bytes(r.content)) for d in (False, True) for r in dictionary.segments(b, down=8, disjoint=d, block_size=Q.B).collect()))
+    whole = run()
+    monkeypatch.setattr(dictionary, "MAX_SAMPLED", 1500, raising=False)
+    monkeypatch.setattr(dictionary, "SHARD", 1500, raising=False)
+    assert whole[0] and whole[1] and run() == whole
