@@ -44,7 +44,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Delete one table that ``write_table`` made."""
-    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    names = {part for f in df.inputFiles() for part in f.split("/")}
     for path in [p for p in _written if p.rsplit("/", 1)[-1] in names]:
         where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,341 +1,540 @@
 """Language-model scores from a hidden Markov model over words.
 
-Every word of the corpus is a symbol, so the model grows with what it reads. Documents are packed into chunks of about ``CHUNK`` bytes of text, each
-with the sorted hashes of its different words and its text as numbers of these. Emissions are a table by word, in parts by the upper bits of the hash: a
-part's task sums the counts of its words and answers what each chunk asks for, and a chunk's task joins the answers to its text. Nobody holds
-the whole table.
-
-Baum-Welch trains until it converges: passes over the whole corpus go on until the relative gain of the log-likelihood
-was at most ``TOLERANCE`` in two passes in a row. A model that is not yet better than the words' plain frequencies may be on the
-plateau before the states part; it stops only at ``PLATEAU`` times that gain. In each pass every task runs the forward-backward
-recursion on its documents, in segments of ``SEGMENT`` words, and emits expected counts, from which the new parameters follow. A score is
-the exact log-likelihood of a document's whole sequence of symbols, by the scaled forward recursion.
-
-For scores, words that training never saw get the share of words that it saw once (Good-Turing), spread evenly over as many as there are by the
-estimate of Chao, or over so many more that one has at most half of what a word seen once has; the others give it up in proportion.
-
-Defined cases. A text that is null or without a word has n_tokens 0 and null scores. Repeated rows get equal rows; a null doc_id is carried along.
-A ``vocabulary`` may be given: then all but the most frequent words (ties are broken by hash) share ``buckets`` symbols. Very long texts are one
-sequence. An empty table gives an empty result. Extra columns are not read.
+Every word that occurs twice or more is a symbol, so the model grows with what it reads; words seen once are one symbol together, the
+class of new words. Documents go by a hash of themselves to chunks of about ``CHUNK`` bytes of text, so what a chunk holds doesn't depend on how rows lie in
+files; each has the sorted hashes of its different words and its texts as numbers of these. Emissions are tables by word, in parts by the upper bits of the
+hash: a part's task sums the counts of its words and answers what each chunk asks for, and a chunk's task joins the answers to its texts. Nobody
+holds a whole table. The chunks are bucketed, so no pass moves them.
+
+Baum-Welch trains incrementally: the chunks form ``BATCHES`` batches; after each one its expected counts replace those it gave in the sweep before (a share
+of the first emissions, at first), and new parameters follow from the counts of all batches. Every sweep reads the whole corpus, and whole sequences:
+documents over ``PIECE`` words are cut into pieces whose transfer matrices give the exact forward and backward vectors at each cut. Sweeps go on until the
+relative gain of the log-likelihood is at most ``TOLERANCE``; while the model is no better than the words' plain frequencies it may be on the plateau before
+the states part, so it stops only at ``PLATEAU`` times that gain. A score is the exact log-likelihood of a document's whole sequence, by the scaled forward recursion.
+
+For scores the class of new words is spread evenly over twice as many words as were seen once: by Good and Turing, words never seen have
+together about the share of those seen once.
+
+Sums of float counts run in the order of chunks, and totals are whole numbers of 2**-16, so a result is the same however the rows are partitioned.
+
+Defined cases. A text that is null or without a word has n_tokens 0 and null scores. Repeated rows get equal rows (they are one sequence with a
+weight); a null doc_id is carried along. Very long texts are one sequence. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import column, drop_table, pieces, write_table
+from cairn.llm.common import _written, column, drop_table, pieces, shared_dir, write_table
 from cairn.llm.textkernel import mix, words
 
-STATES, SEGMENT = 8, 64
-TOLERANCE, PLATEAU = 1e-4, 1e-3
-SPREAD, STAY = 4.0, 8.0  #: logarithmic range of the first emissions' noise, and weight of staying in a state: both tell the states apart from the first pass on
-PRIOR = 0.1  #: added to every expected count
-CHUNK = 8 << 20  #: bytes of text
+STATES, BATCHES = 8, 4
+TOLERANCE, PLATEAU = 1e-3, 1e-2
+SPREAD, STAY = 4.0, 100.0  #: logarithmic range of the first emissions' noise, and weight of staying in a state: both tell the states apart from the first sweep on
+SHARE = 0.02  #: of a word's count, given to its states in equal parts besides what was counted
+MOVED = 1.0  #: added to the count of every start and move
+CHUNK = 12 << 20  #: bytes of text
 PART = 1 << 15  #: words of a part of the emissions, about
-COUNTS = "part int, chunk bigint, words binary, counts binary"
+PIECE, STEP = 2048, 1 << 20  #: words of a sequence, and of all sequences that advance in step
+UNIT = 65536.0  #: totals are counted in so many parts
+RARE = 0  #: the symbol of words seen once
+COUNTS = "part int, chunk bigint, words binary, counts binary, totals array<bigint>"
+CHUNKS = "chunk bigint, batch int, known binary, n binary, symbols binary, size binary, doc_id array<bigint>, times array<bigint>"
 
 
 @dataclass
 class Model:
-    """What the recursions need: all parameters, for the words of one chunk."""
+    """What the recursions need: all parameters, for the symbols of one chunk."""
 
-    known: np.ndarray  #: sorted hashes of the words
-    buckets: int
     start: np.ndarray  #: by state
     move: np.ndarray  #: state to state
-    emit: np.ndarray  #: a row of each symbol, by state
+    emit: np.ndarray  #: a row of each state, by symbol: how many times more probable it makes the symbol than the corpus does
 
 
 @dataclass
 class Trained:
-    known: np.ndarray | None  #: sorted hashes of the vocabulary; none if every word is a symbol
-    buckets: int
+    """Parameters, and the tables that emissions follow from."""
+
     start: np.ndarray
     move: np.ndarray
-    table: DataFrame  #: COUNTS: each word's expected counts by state, in pieces to be summed
-    sums: np.ndarray  #: by state, of all words, PRIOR included
-    size: int  #: how many symbols
+    vocabulary: DataFrame  #: part, words, counts: how often each word occurs
     bits: int  #: of a hash that name its part
-    unseen: tuple[float, float]  #: the share of all words not seen in training, and that of each
-    plain: float  #: log-likelihood of the words of training by their frequencies alone
+    size: int  #: how many symbols
+    total: int  #: words of the corpus
+    once: int  #: words that occur once
+    plain: float  #: log-likelihood of the corpus by the frequencies of its symbols alone
+    first: np.ndarray  #: totals by state of the first emissions
+    tables: dict[int, DataFrame] = field(default_factory=dict)  #: by batch: expected counts of words by state
+    totals: dict[int, np.ndarray] = field(default_factory=dict)
+    batches: int = BATCHES
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """By state: expected counts of all symbols, and of the class of new words; the share of the first emissions that is left."""
+        k = len(self.start)
+        left = 1 - len(self.totals) / self.batches
+        rare = sum((t[-k:] for t in self.totals.values()), left * np.full(k, self.once / k)) + SHARE * self.once / k
+        return sum((t[k + k * k : 2 * k + k * k] for t in self.totals.values()), left * self.first) + SHARE * self.total / k, rare, left
+
+    def step(self, batch: int, table: DataFrame, totals: np.ndarray) -> Trained:
+        k = len(self.start)
+        new = replace(self, tables=self.tables | {batch: table}, totals=self.totals | {batch: totals})
+        t = sum(new.totals.values())
+        start, moves = t[:k] + MOVED, t[k : k + k * k].reshape(k, k) + MOVED
+        new.start, new.move = start / start.sum(), moves / moves.sum(1, keepdims=True)
+        return new
+
+
+# --- recursions
+
+
+def _in_step(first: np.ndarray, size: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """For sequences that are sorted by falling size: how many have a t-th word, where these begin if words are laid out by t, and their places."""
+    active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+    before = np.r_[0, np.cumsum(active)]
+    t = np.repeat(np.arange(len(active)), active)
+    return active.tolist(), before.tolist(), first[np.arange(before[-1]) - before[:-1][t]] + t
+
+
+def transfers(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """For each piece a matrix: from the state before it (of the start, where it opens a document) to the state at its end, with the
+    probability of its words, scaled to a largest entry of 1."""
+    k, n, out = len(m.start), len(first), np.empty((len(first), len(m.start), len(m.start)))
+    order = np.argsort(-size, kind="stable")
+    active, before, places = _in_step(first[order], size[order])
+    a = np.where(np.repeat(opens[order], k)[None, :], m.start[:, None], np.tile(m.move.T, (1, n))).astype(np.float32)
+    step = m.move.T.astype(np.float32)
+    for t, (c, x) in enumerate(zip(active, before)):
+        if c * k < a.shape[1]:
+            out[order[c : a.shape[1] // k]] = a[:, c * k :].T.reshape(-1, k, k)
+            a = a[:, : c * k]
+        if t:
+            a = step @ a
+        a = a * np.repeat(m.emit[:, flat[places[x : x + c]]], k, 1)
+        a /= np.repeat(a.reshape(k, c, k).max((0, 2)), k)
+    out[order[: a.shape[1] // k]] = a.T.reshape(-1, k, k)
+    return out
 
-    def code(self) -> Callable[[np.ndarray], np.ndarray]:
-        known, buckets = self.known, self.buckets
-        return lambda h: h if known is None else np.where(np.isin(h, known), h, h % np.uint64(buckets))
 
+@dataclass
+class Pieces:
+    """Sequences of at most PIECE words, sorted by falling size; what comes before and after in the same document is in vectors."""
 
-def forward(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Log-likelihoods of the sequences flat[first:first + size], each of one symbol at least, in step."""
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    alpha = m.start * m.emit[flat[first]]
-    scale = alpha.sum(1)
-    alpha /= scale[:, None]
-    total = np.log(scale)
-    active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right") if len(size) else np.zeros(0, int)
-    for t in range(1, int(size[0]) if len(size) else 0):
-        n = active[t]
-        alpha = (alpha[:n] @ m.move) * m.emit[flat[first[:n] + t]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        total[:n] += np.log(scale)
-    out = np.empty(len(order))
-    out[order] = total
-    return out
+    first: np.ndarray
+    size: np.ndarray
+    row: np.ndarray  #: document
+    opens: np.ndarray  #: begins a document
+    entry: np.ndarray  #: a column each: distribution of the state before, where it doesn't open a document
+    leave: np.ndarray  #: likelihood of what follows, by the state at the end
 
 
-def expected(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward on sequences: adds each symbol's expected states to counts; gives those of starts and moves, and the log-likelihood."""
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    longest, states = int(size[0]), len(m.start)
-    active = np.searchsorted(-size, -np.arange(1, longest + 1), "right")
-    alphas, emits, scales, symbols, like = [], [], [], [], 0.0
-    for t in range(longest):
-        n = active[t]
-        s = flat[first[:n] + t]
-        e = m.emit[s]
-        alpha = (alphas[-1][:n] @ m.move if t else m.start) * e
-        scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        like += float(np.log(scale).sum())
-        alphas.append(alpha)
-        emits.append(e)
-        scales.append(scale)
-        symbols.append(s)
-    moves, gammas = np.zeros((states, states)), [alphas[-1]]
-    beta = np.ones((active[-1], states))
-    for t in range(longest - 2, -1, -1):
-        n = active[t + 1]
-        ahead = emits[t + 1] * beta / scales[t + 1][:, None]
-        moves += alphas[t][:n].T @ ahead
-        new = np.ones((active[t], states))
-        new[:n] = ahead @ m.move.T
-        beta = new
-        gammas.append(alphas[t] * beta)
-    sym, gamma = np.concatenate(symbols[::-1]), np.concatenate(gammas)
-    for k in range(states):
-        counts[:, k] += np.bincount(sym, gamma[:, k], len(counts))
-    return gammas[-1].sum(0), moves * m.move, like
-
-
-def segments(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    size = np.diff(offsets)
-    n = -(-size // width)
+def cut(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> Pieces:
+    """The sequences flat[first:first + size] as pieces."""
+    k, longest = len(m.start), PIECE
+    n = -(-size // longest)
     row = np.repeat(np.arange(len(size)), n)
-    first = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * width
-    return first, np.minimum(width, offsets[1:][row] - first)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = first[row] + turn * longest
+    length = np.minimum(longest, first[row] + size[row] - start)
+    entry, leave = np.full((k, len(row)), 1 / k), np.ones((k, len(row)))
+    some = np.flatnonzero(n[row] > 1)
+    if len(some):
+        t = transfers(m, flat, start[some], length[some], turn[some] == 0)
+        for i in range(len(some)):  # few: one for each PIECE words
+            if turn[some[i]]:
+                v = t[i - 1][0] if turn[some[i]] == 1 else entry[:, some[i - 1]] @ t[i - 1]
+                entry[:, some[i]] = v / v.sum()
+        for i in range(len(some) - 1, 0, -1):
+            if turn[some[i]]:
+                v = t[i] @ leave[:, some[i]]
+                leave[:, some[i - 1]] = v / v.max()
+    order = np.argsort(-length, kind="stable")
+    return Pieces(start[order], length[order], row[order], turn[order] == 0, entry[:, order], leave[:, order])
+
+
+def _forward(m: Model, flat: np.ndarray, p: Pieces) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Layout, symbols in it, their emissions, scaled forward vectors (a column each) and scales."""
+    active, before, places = _in_step(p.first, p.size)
+    symbols = flat[places]
+    emit = np.take(m.emit, symbols, 1)
+    alpha, scale = np.empty_like(emit), np.empty(emit.shape[1], np.float32)
+    step, ones = np.ascontiguousarray(m.move.T).astype(np.float32), np.ones(len(m.start), np.float32)
+    a = np.where(p.opens[None, :], m.start[:, None], m.move.T @ p.entry).astype(np.float32)
+    for t, (c, x) in enumerate(zip(active, before)):
+        if t:
+            a = step @ a[:, :c]
+        a *= emit[:, x : x + c]
+        s = ones @ a
+        a /= s
+        alpha[:, x : x + c], scale[x : x + c] = a, s
+    return active, before, symbols, emit, alpha, scale
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(h, n): how often each word occurs in all documents, by its hash."""
+def forward(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For sequences of one symbol at least: how much their log-likelihoods exceed those by the symbols' frequencies."""
+    p = cut(m, flat, first, size)
+    active, before, _, _, _, scale = _forward(m, flat, p)
+    rank = np.arange(before[-1]) - np.repeat(before[:-1], active)
+    return np.bincount(p.row[rank], np.log(scale, dtype=np.float64), len(size))
+
+
+def expected(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward on sequences, each counted so many times: adds each symbol's expected states to counts (a row a state); gives those of starts
+    and moves, and what the log-likelihood is above that by the symbols' frequencies."""
+    p = cut(m, flat, first, size)
+    weight = times[p.row].astype(np.float32)
+    active, before, symbols, emit, alpha, scale = _forward(m, flat, p)
+    rank = np.arange(before[-1]) - np.repeat(before[:-1], active)
+    like = float((np.log(scale, dtype=np.float64) * weight[rank]).sum())
+    emit /= scale
+    last = np.array(before[:-1])[p.size - 1] + np.arange(len(p.size))
+    leave = p.leave / (alpha[:, last] * p.leave).sum(0)
+    if (weight != 1).any():
+        alpha *= weight[rank]
+    leave, move = leave.astype(np.float32), m.move.astype(np.float32)
+    moves, b = np.zeros((len(m.start), len(m.start))), leave[:, : active[-1]]
+    for t in range(len(active) - 1, 0, -1):
+        c, x, y = active[t], before[t], before[t - 1]
+        ahead = emit[:, x : x + c]
+        ahead *= b
+        alpha[:, x : x + c] *= b
+        moves += alpha[:, y : y + c] @ ahead.T
+        b = np.empty((len(m.start), active[t - 1]), np.float32)
+        b[:, :c], b[:, c:] = move @ ahead, leave[:, c : active[t - 1]]
+    c = active[0]
+    inner = ~p.opens
+    moves += (p.entry * weight)[:, inner] @ (emit[:, :c] * b)[:, inner].T
+    alpha[:, :c] *= b
+    for k in range(len(counts)):
+        counts[k] += np.bincount(symbols, alpha[k], counts.shape[1])
+    return alpha[:, :c][:, p.opens].sum(1, dtype=float), moves * m.move, like
+
+
+def _bundles(size: np.ndarray) -> Iterator[np.ndarray]:
+    """The sequences that aren't empty, longest first, in bundles of about STEP words."""
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 0]
+    group = (np.cumsum(size[order]) - size[order]) // STEP
+    for at in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+        if len(at):
+            yield at
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                h, n = np.unique(words(part.column("text")).hash, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"h": column(h), "n": pa.array(n.astype(np.int64))})
 
-    return docs.select("text").mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+# --- chunks
 
 
-def _encode(docs: DataFrame, model: Trained) -> DataFrame:
-    """(chunk, known, symbols, size, doc_id): the words of many documents as places among the chunk's different ones, four bytes a word."""
-    code = model.code()
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
-    def pack(chunk: int, held: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        known, symbols = np.unique(np.concatenate([h for _, _, h in held]), return_inverse=True)
-        ids = pa.concat_arrays([d for d, _, _ in held])
-        size = np.concatenate([n for _, n, _ in held]).astype(np.int64)
-        row = {"chunk": [chunk], "known": [known.tobytes()], "symbols": [symbols.astype(np.uint32).tobytes()], "size": [size.tobytes()]}
-        return pa.RecordBatch.from_pydict(row | {"doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, n = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
+def encode(docs: DataFrame, batches: int = BATCHES, chunk_bytes: int = CHUNK) -> DataFrame:
+    """CHUNKS: documents by a hash of themselves. ``known`` are the chunk's different words, ``n`` how often each occurs, ``symbols`` places among them;
+    rows that repeat a document are counted in ``times``."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(batches, -(-size // chunk_bytes))
+    own = F.xxhash64("doc_id", "text")
+    placed = docs.select("doc_id", "text", own.alias("h"), F.pmod(own, F.lit(chunks)).alias("chunk"))
+
+    def tokenise(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
             for part in pieces(batch, "text"):
                 w = words(part.column("text"))
-                held.append((part.column("doc_id"), np.diff(w.first), code(w.hash)))
-                n += len(w.flat)
-                if n >= CHUNK:
-                    yield pack(chunk, held)
-                    chunk, held, n = chunk + 1, [], 0
-        if held:
-            yield pack(chunk, held)
+                h, chunk = np.asarray(part.column("h")), np.asarray(part.column("chunk"))
+                _, at, times = np.unique(h, return_index=True, return_counts=True)
+                by = np.lexsort((h[at], chunk[at]))
+                at, times = at[by], times[by]
+                heads = np.r_[0, np.flatnonzero(np.diff(chunk[at])) + 1]
+                ids, some = part.column("doc_id").take(pa.array(at)), list(zip(heads, np.r_[heads[1:], len(at)]))
+                off = pa.array(np.r_[heads, len(at)].astype(np.int32))
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array(chunk[at[heads]]), "doc_id": pa.ListArray.from_arrays(off, ids), "h": pa.ListArray.from_arrays(off, pa.array(h[at])), "times": pa.ListArray.from_arrays(off, pa.array(times)),
+                    "size": _lists([np.diff(w.first)[at[a:b]] for a, b in some]), "words": pa.array([b"".join(w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in at[a:b]) for a, b in some], pa.binary()),
+                })
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        h, times, size = (np.asarray(t[c].combine_chunks().flatten()) for c in ("h", "times", "size"))
+        ids = t["doc_id"].combine_chunks().flatten()
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t["words"]])
+        first = np.cumsum(size) - size
+        _, at, group = np.unique(h, return_index=True, return_inverse=True)
+        first, size, n = first[at], size[at], np.bincount(group, times, len(at)).astype(np.int64)
+        flat = flat[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        known, symbols = np.unique(flat, return_inverse=True)
+        seen = np.bincount(symbols, np.repeat(n, size), len(known)).astype(np.int64)
+        chunk = t["chunk"][0].as_py()
+        return _chunk(chunk, chunk % batches, known, seen, symbols, size, ids.take(pa.array(at)), pa.array(n))
+
+    rows = placed.mapInArrow(tokenise, "chunk bigint, doc_id array<bigint>, h array<bigint>, times array<bigint>, size array<bigint>, words binary")
+    return write_table(rows.groupBy("chunk").applyInArrow(build, CHUNKS), "chunks")
+
+
+def _chunk(chunk: int, batch: int, known: np.ndarray, n: np.ndarray, symbols: np.ndarray, size: np.ndarray, ids: pa.Array, times: pa.Array) -> pa.Table:
+    whole = pa.array([0, len(ids)], pa.int32())
+    return pa.table({
+        "chunk": [chunk], "batch": pa.array([batch], pa.int32()), "known": [known.tobytes()], "n": [n.tobytes()], "symbols": [symbols.astype(np.uint32).tobytes()], "size": [size.astype(np.int64).tobytes()],
+        "doc_id": pa.ListArray.from_arrays(whole, ids), "times": pa.ListArray.from_arrays(whole, times),
+    })
+
+
+def _bucketed(df: DataFrame, by: str, apart: str, buckets: int, name: str) -> DataFrame:
+    """A table in the shared folder, in folders by ``apart`` and buckets by ``by``: reading it grouped by ``by`` moves no row."""
+    spark, table = df.sparkSession, f"cairn_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cairn-{name}-{table}"
+    df.write.partitionBy(apart).bucketBy(buckets, by).format("parquet").option("path", path).saveAsTable(table)
+    _written.append(path)
+    return spark.table(table)
+
+
+def _parts(known: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of sorted words."""
+    part = (known >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+    return [(int(part[a]), int(a), int(b)) for a, b in zip(at[:-1], at[1:]) if b > a]
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk bigint, known binary, symbols binary, size binary, doc_id array<bigint>")
 
+def _rows(rows: list[tuple]) -> dict[str, pa.Array]:
+    kinds = {"part": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "counts": pa.binary(), "totals": pa.list_(pa.int64())}
+    return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
 
-def _parts(chunk: int, known: np.ndarray, counts: np.ndarray | None, bits: int) -> Iterator[tuple[int, int, bytes, bytes | None]]:
-    """Rows of COUNTS of sorted words."""
-    part = (known >> np.uint64(64 - bits)).astype(np.int64)
-    cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        if b > a:
-            yield int(part[a]), chunk, known[a:b].tobytes(), None if counts is None else counts[a:b].astype(np.float32).tobytes()
 
+def _asks(coded: DataFrame, bits: int) -> DataFrame:
+    """What the chunks want to know: their words, by part."""
 
-def _rows(rows: list[tuple[int, int, bytes | None, bytes | None]]) -> dict[str, pa.Array]:
-    kinds = {"part": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "counts": pa.binary()}
-    return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())}
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for chunk, words_ in zip(b.column("chunk").to_pylist(), b.column("known")):
+                known = np.frombuffer(words_.as_buffer(), np.uint64)
+                yield pa.RecordBatch.from_pydict(_rows([(p, chunk, known[x:y].tobytes(), None, None) for p, x, y in _parts(known, bits)]))
 
+    return coded.select("chunk", "known").mapInArrow(ask, COUNTS)
 
-def _totals(table: DataFrame, n: int) -> np.ndarray:
-    """The sum of the rows of part -1: starts, moves, log-likelihood, states."""
-    return sum((np.frombuffer(r[0]) for r in table.filter("part = -1").orderBy("chunk").select("counts").collect()), np.zeros(n))
-
-
-def initial(counts: DataFrame, states: int = STATES, vocabulary: int | None = None, buckets: int = 0, seed: int = 5) -> Trained:
-    known = None
-    if vocabulary is not None:
-        known = np.sort(np.asarray(counts.orderBy(F.desc("n"), "h").limit(vocabulary).select("h").toArrow().column("h").combine_chunks()).view(np.uint64))
-    model = Trained(known, buckets, np.full(states, 1 / states), np.full((states, states), 1.0) + STAY * np.eye(states), counts, np.ones(states), 0, 4, (0.0, 0.0), 0.0)
-    model.move /= model.move.sum(1, keepdims=True)
-    if known is not None:
-        code = model.code()
-
-        def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_pydict({"h": column(code(np.asarray(b.column("h")).view(np.uint64))), "n": b.column("n")})
-
-        counts = counts.mapInArrow(renamed, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    size, total, once, twice, logs = (x or 0 for x in counts.agg(F.count("*"), F.sum("n"), F.sum((F.col("n") == 1).cast("bigint")), F.sum((F.col("n") == 2).cast("bigint")), F.sum(F.col("n") * F.log("n"))).first())
-    bits = model.bits = max(4, (size // PART).bit_length())
-    share = (once + 1) / (total + 2)
-    model.size, model.unseen = size, (share, share / max(1.0, once * (once - 1) / (2 * (twice + 1)), 2 * total * share / (1 - share)))
-    model.plain = logs - total * float(np.log(max(1, total)))
-
-    def noisy(known: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        by = np.argsort(known)
-        known, n = known[by], n[by]
-        salt = known[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
-        emit = (n[:, None] + PRIOR) * np.exp(SPREAD * ((mix(salt) >> np.uint64(11)) / float(1 << 53) - 0.5))
-        rows = [*_parts(0, known, emit - PRIOR, bits), (-1, 0, None, np.r_[np.zeros(states + states * states + 1), emit.sum(0)].tobytes())]
-        yield pa.RecordBatch.from_pydict(_rows(rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append((np.asarray(b.column("h")).view(np.uint64), np.asarray(b.column("n")).astype(float)))
-            n += b.num_rows
-            if n >= 1 << 20:
-                yield from noisy(*map(np.concatenate, zip(*held)))
-                held, n = [], 0
-        if held:
-            yield from noisy(*map(np.concatenate, zip(*held)))
-
-    model.table = write_table(counts.select("h", "n").mapInArrow(run, COUNTS), "emissions")
-    model.sums = _totals(model.table, 2 * states + states * states + 1)[-states:]
-    return model
-
-
-def _joined(coded: DataFrame, model: Trained, work: Callable[[int, Model, np.ndarray, np.ndarray, pa.Table], dict], schema: str, columns: list[str], scoring: bool) -> DataFrame:
-    """What ``work(chunk, model of its words, symbols, offsets, row)`` gives for every chunk. When scoring, unseen words have their share."""
-    states, bits, sums, start, move = len(model.start), model.bits, model.sums, model.start, model.move
-    share, each = model.unseen if scoring else (0.0, 0.0)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, known in zip(b.column("chunk").to_pylist(), b.column("known")):
-                yield pa.RecordBatch.from_pydict(_rows(list(_parts(chunk, np.frombuffer(known.as_buffer(), np.uint64), None, bits))))
+
+def _answers(asks: DataFrame, tables: list[DataFrame], value: Callable[[np.ndarray, list[tuple[int, np.ndarray, bytes]]], np.ndarray]) -> DataFrame:
+    """(part, chunk, counts): for each ask the rows that ``value(words, rows of all tables)`` gives of its words."""
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk").combine_chunks()
-        rows = [(t["chunk"][i].as_py(), np.frombuffer(t["words"][i].as_buffer(), np.uint64), t["counts"][i].as_buffer()) for i in range(t.num_rows)]
-        given = [(w, np.frombuffer(c, np.float32).reshape(-1, states)) for _, w, c in rows if c is not None]
-        h, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in given)]), return_inverse=True)
-        table = np.full((len(h) + 1, states), each)
-        if given:
-            c = np.concatenate([c for _, c in given])
-            for k in range(states):
-                table[:-1, k] = (np.bincount(at, c[:, k], len(h)) + PRIOR) / sums[k] * (1 - share)
-        table, out, part = table.astype(np.float32), [], t["part"][0].as_py()
-        for chunk, w, c in rows:
-            if c is None:
+        rows = [(t["chunk"][i].as_py(), np.frombuffer(t["words"][i].as_buffer(), np.uint64), t["counts"][i]) for i in range(t.num_rows)]
+        given = [(c, w, x.as_buffer()) for c, w, x in rows if c < 0]
+        h = next((w for c, w, _ in given if c == -1), np.zeros(0, np.uint64))
+        table, part, out = value(h, given), t["part"][0].as_py(), []
+        for chunk, w, _ in rows:
+            if chunk >= 0:
                 i = np.searchsorted(h, w)
                 i[np.r_[h, np.uint64(0)][i] != w] = len(h)
-                out.append((part, chunk, None, table[i].tobytes()))
-        return pa.Table.from_pydict(_rows(out))
+                out.append((part, chunk, None, table[i].tobytes(), None))
+        return pa.table(_rows(out))
+
+    marked = [t.select("part", F.lit(-1 - i).cast("bigint").alias("chunk"), "words", "counts", F.lit(None).cast("array<bigint>").alias("totals")) for i, t in enumerate(tables)]
+    return reduce(DataFrame.union, [asks, *marked]).groupBy("part").applyInArrow(answer, COUNTS).select("part", "chunk", "counts")
+
+
+def _answered(right: pa.Table, kind: type, width: int) -> np.ndarray:
+    right = right.sort_by("part")
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(c.as_buffer(), kind) for c in right["counts"])]).reshape(-1, width)
+
+
+def pruned(coded: DataFrame, vocabulary: DataFrame, bits: int) -> DataFrame:
+    """The chunks with RARE and the words of the vocabulary as their symbols, bucketed by chunk; symbol i is word i - 1 of ``known``."""
+
+    def value(h: np.ndarray, given: list) -> np.ndarray:
+        return np.r_[np.ones(len(h), np.uint8), np.uint8(0)]
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        right, out = right.sort_by("part"), []
-        emit = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(c.as_buffer(), np.float32) for c in right["counts"])]).astype(float).reshape(-1, states)
-        for i in range(left.num_rows):
-            row = left.slice(i, 1)
-            known, flat, size = (np.frombuffer(row[c][0].as_buffer(), kind) for c, kind in (("known", np.uint64), ("symbols", np.uint32), ("size", np.int64)))
-            out.append(pa.Table.from_pydict(work(row["chunk"][0].as_py(), Model(known, 0, start, move, emit), flat, np.r_[0, np.cumsum(size)], row)))
+        out, keep = [], _answered(right, np.uint8, 1)[:, 0].astype(bool)
+        for row in (left.slice(i, 1) for i in range(left.num_rows)):
+            known, n, symbols, size = (np.frombuffer(row[c][0].as_buffer(), kind) for c, kind in (("known", np.uint64), ("n", np.int64), ("symbols", np.uint32), ("size", np.int64)))
+            new = np.where(keep, np.cumsum(keep), RARE)
+            ids, times = (row[c].combine_chunks().flatten() for c in ("doc_id", "times"))
+            out.append(_chunk(row["chunk"][0].as_py(), row["batch"][0].as_py(), known[keep], n[keep], new[symbols], size, ids, times))
         return pa.concat_tables(out)
 
-    asked = coded.select("chunk", "known").mapInArrow(ask, COUNTS)
-    answers = asked.union(model.table.filter("part >= 0")).groupBy("part").applyInArrow(answer, COUNTS)
-    return coded.select(*columns).groupBy("chunk").cogroup(answers.select("part", "chunk", "counts").groupBy("chunk")).applyInArrow(join, schema)
+    answers = _answers(_asks(coded, bits), [vocabulary], value)
+    joined = coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, CHUNKS)
+    n = coded.count()
+    batches = max(1, coded.select("batch").distinct().count())
+    return _bucketed(joined, "chunk", "batch", min(50_000, max(1, 2 * n // batches)), "symbols")
+
+
+# --- training
+
+
+def _noise(words_: np.ndarray, states: int, seed: int = 5) -> np.ndarray:
+    """The first shares of each word's states."""
+    salt = words_[:, None] + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    x = np.exp(SPREAD * ((mix(salt) >> np.uint64(11)) / float(1 << 53) - 0.5))
+    return x / x.sum(1, keepdims=True)
+
+
+def _summed(table: DataFrame) -> np.ndarray:
+    """The element-wise sum of a table's totals; they are whole numbers, so the order doesn't matter."""
+    rows = table.filter("totals is not null").select(F.posexplode("totals").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    return np.array([r["v"] for r in rows], float) / UNIT
+
+
+def initial(coded: DataFrame, states: int = STATES, batches: int = BATCHES) -> Trained:
+    """The vocabulary of the chunks and the first parameters."""
+
+    def list_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for known, n in zip(b.column("known"), b.column("n")):
+                yield pa.RecordBatch.from_pydict({"h": column(np.frombuffer(known.as_buffer(), np.uint64)), "n": pa.array(np.frombuffer(n.as_buffer(), np.int64))})
+
+    counts = write_table(coded.select("known", "n").mapInArrow(list_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    often = F.col("n") > 1
+    size, total, once, logs = (x or 0 for x in counts.agg(F.sum(often.cast("bigint")), F.sum("n"), F.sum((~often).cast("bigint")), F.sum(F.when(often, (F.col("n") * F.log("n") * UNIT).cast("bigint")))).first())
+    bits = max(4, (size // PART).bit_length())
+
+    def pack(t: pa.Table) -> pa.Table:
+        h, n = np.asarray(t["h"].combine_chunks()).view(np.uint64), np.asarray(t["n"].combine_chunks())
+        by = np.argsort(h)
+        h, n = h[by], n[by].astype(float)
+        first = (n[:, None] * _noise(h, states)).sum(0)
+        return pa.table(_rows([(int(h[0] >> np.uint64(64 - bits)), -1, h.tobytes(), n.tobytes(), (first * UNIT).round().astype(np.int64).tolist())]))
+
+    vocabulary = write_table(counts.filter(often).groupBy(F.expr(f"cast(shiftrightunsigned(h, {64 - bits}) as int)").alias("part")).applyInArrow(pack, COUNTS), "vocabulary")
+    drop_table(counts)
+    move = np.full((states, states), 1.0) + STAY * np.eye(states)
+    first = _summed(vocabulary) if size else np.zeros(states)
+    plain = float(logs) / UNIT + (once * np.log(once) if once else 0.0) - total * float(np.log(max(1, total)))
+    return Trained(np.full(states, 1 / states), move / move.sum(1, keepdims=True), vocabulary, bits, size, total, once, plain, first + once / states, batches=batches)
+
+
+def _joined(coded: DataFrame, model: Trained, work: Callable[[int, Model, np.ndarray, pa.Table], dict], schema: str, columns: list[str]) -> DataFrame:
+    """What ``work(chunk, model of its symbols, logarithms of their frequencies, row)`` gives for every chunk."""
+    states, total, once, start, move = len(model.start), max(1, model.total), model.once, model.start, model.move
+    sums, rare, left = model.sums()
+
+    def value(h: np.ndarray, given: list) -> np.ndarray:
+        out = np.zeros((len(h) + 1, states + 1), np.float32)
+        n = next((np.frombuffer(x, np.float64) for c, _, x in given if c == -1), np.zeros(0))
+        counts = (left * n[:, None]) * _noise(h, states) if left else np.zeros((len(h), states))
+        for c, w, x in sorted((g for g in given if g[0] < -1), key=lambda g: -g[0]):
+            counts[np.searchsorted(h, w)] += np.frombuffer(x, np.float32).reshape(-1, states)
+        out[:-1, :states] = (counts + SHARE / states * n[:, None]) / sums * (total / n[:, None])
+        out[:-1, states] = np.log(n / total)
+        return out
+
+    def join(left_: pa.Table, right: pa.Table) -> pa.Table:
+        given, out = _answered(right, np.float32, states + 1), []
+        emit = np.empty((states, len(given) + 1), np.float32)
+        emit[:, 1:] = given[:, :states].T
+        emit[:, RARE] = rare / sums * (total / max(1, once)) if once else 1.0
+        logs = np.r_[np.log(max(1, once) / total), given[:, states].astype(float)]
+        for row in (left_.slice(i, 1) for i in range(left_.num_rows)):
+            out.append(pa.table(work(row["chunk"][0].as_py(), Model(start, move, emit), logs, row)))
+        return pa.concat_tables(out)
 
+    answers = _answers(_asks(coded, model.bits), [model.vocabulary, *(t for _, t in sorted(model.tables.items()))], value)
+    return coded.select(*columns).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(join, schema)
 
-def round_of(coded: DataFrame, model: Trained, segment: int = SEGMENT) -> tuple[Trained, float]:
-    """One Baum-Welch pass over all documents: the new model, and the log-likelihood under the old one."""
-    states, bits = len(model.start), model.bits
 
-    def work(chunk: int, m: Model, flat: np.ndarray, offsets: np.ndarray, row: pa.Table) -> dict:
-        counts, start, moves, like = np.zeros((len(m.known), states)), np.zeros(states), np.zeros((states, states)), 0.0
-        first, length = segments(offsets, segment)
-        for a in range(0, len(first), 8192):
-            s, mv, ll = expected(m, flat, first[a : a + 8192], length[a : a + 8192], counts)
-            start, moves, like = start + s, moves + mv, like + ll
-        return _rows([*_parts(chunk, m.known, counts, bits), (-1, chunk, None, np.r_[start, moves.ravel(), like, counts.sum(0)].tobytes())])
+def _texts(row: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    symbols, size = (np.frombuffer(row[c][0].as_buffer(), kind) for c, kind in (("symbols", np.uint32), ("size", np.int64)))
+    return symbols.astype(np.int32), np.cumsum(size) - size, size
 
-    table = write_table(_joined(coded, model, work, COUNTS, ["chunk", "known", "symbols", "size"], False), "emissions")
-    t = _totals(table, 2 * states + states * states + 1)
-    start, moves = t[:states] + PRIOR, t[states : states + states * states].reshape(states, states) + PRIOR
-    new = Trained(model.known, model.buckets, start / start.sum(), moves / moves.sum(1, keepdims=True), table, t[-states:] + PRIOR * model.size, model.size, bits, model.unseen, model.plain)
-    return new, float(t[-states - 1])
+
+def batch_of(coded: DataFrame, model: Trained, batch: int) -> tuple[Trained, float]:
+    """The model after a batch was read again; what the batch's log-likelihood under the old model is above that by frequencies."""
+    states, bits = len(model.start), model.bits
+
+    def work(chunk: int, m: Model, logs: np.ndarray, row: pa.Table) -> dict:
+        flat, first, size = _texts(row)
+        known = np.frombuffer(row["known"][0].as_buffer(), np.uint64)
+        times = np.asarray(row["times"].combine_chunks().flatten())
+        counts, start, moves, like = np.zeros((states, len(known) + 1)), np.zeros(states), np.zeros((states, states)), 0.0
+        for at in _bundles(size):
+            s, mv, more = expected(m, flat, first[at], size[at], times[at], counts)
+            start, moves, like = start + s, moves + mv, like + more
+        totals = (np.r_[start, moves.ravel(), counts.sum(1), like, counts[:, RARE]] * UNIT).round().astype(np.int64).tolist()
+        by_word = np.ascontiguousarray(counts[:, 1:].T, np.float32)
+        rows = [(p, chunk, known[a:b].tobytes(), by_word[a:b].tobytes(), None) for p, a, b in _parts(known, bits)]
+        return _rows([(chunk % (1 << bits), chunk, None, None, totals), *rows])
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk").combine_chunks()
+        totals = [np.asarray(x.values) for x in t["totals"] if x.is_valid]
+        rows = [(np.frombuffer(w.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.float32).reshape(-1, states)) for w, c in zip(t["words"], t["counts"]) if w.is_valid]
+        h, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in rows)]), return_inverse=True)
+        c = np.concatenate([np.zeros((0, states), np.float32), *(c for _, c in rows)])
+        summed = np.stack([np.bincount(at, c[:, k], len(h)) for k in range(states)], 1).astype(np.float32)
+        return pa.table(_rows([(t["part"][0].as_py(), batch, h.tobytes(), summed.tobytes(), sum(totals).tolist() if totals else None)]))
+
+    mine = coded.filter(F.col("batch") == batch)
+    counted = _joined(mine, model, work, COUNTS, ["chunk", "known", "symbols", "size", "times"])
+    table = write_table(counted.groupBy("part").applyInArrow(merge, COUNTS), "emissions")
+    t = _summed(table)
+    if not len(t):
+        t = np.zeros(3 * states + states * states + 1)
+    like, old = t[2 * states + states * states], model.tables.get(batch)
+    new = model.step(batch, table, np.delete(t, 2 * states + states * states))
+    if old is not None:
+        drop_table(old)
+    return new, float(like)
 
 
 def converged(likes: list[float], plain: float) -> bool:
-    """Whether the log-likelihoods of the passes so far have come to rest; that of a corpus without words is 0."""
+    """Whether the log-likelihoods of the sweeps so far have come to rest; that of a corpus without words is 0."""
     if likes and likes[-1] == 0:
         return True
     most = TOLERANCE if likes and likes[-1] > plain else TOLERANCE * PLATEAU
-    return len(likes) > 2 and all(b - a <= most * abs(a) for a, b in zip(likes[-3:], likes[-2:]))
+    return len(likes) > 1 and likes[-1] - likes[-2] <= most * abs(likes[-2])
 
 
-def train(docs: DataFrame, states: int = STATES, vocabulary: int | None = None, buckets: int = 0, rounds: int | None = None) -> tuple[Trained, DataFrame]:
-    """The trained model and the documents' symbols, as a table in the shared folder. Without ``rounds`` passes go on until they converge."""
-    model = initial(write_table(word_counts(docs), "counts"), states, vocabulary, buckets)
-    coded = write_table(_encode(docs, model), "symbols")
+def train(docs: DataFrame, states: int = STATES, batches: int = BATCHES, sweeps: int | None = None, chunk_bytes: int = CHUNK) -> tuple[Trained, DataFrame, list[float]]:
+    """The trained model, the documents' symbols as a table in the shared folder, and the log-likelihood of each sweep (of each batch under the model
+    that it met). Without ``sweeps`` they go on until they converge."""
+    raw = encode(docs, batches, chunk_bytes)
+    model = initial(raw, states, batches)
+    coded = pruned(raw, model.vocabulary, model.bits)
+    drop_table(raw)
     likes: list[float] = []
-    while len(likes) < rounds if rounds is not None else not converged(likes, model.plain):
-        before = model.table
-        model, like = round_of(coded, model)
+    while len(likes) < sweeps if sweeps is not None else not converged(likes, model.plain):
+        like = model.plain
+        for batch in range(batches):
+            model, more = batch_of(coded, model, batch)
+            like += more
         likes.append(like)
-        drop_table(before)
-        del before
         gc.collect()
-        docs.sparkSession.sparkContext._jvm.System.gc()  # else the shuffle files of all passes stay
-    return model, coded
+        docs.sparkSession.sparkContext._jvm.System.gc()  # else the shuffle files of all sweeps stay
+    return model, coded, likes
 
 
 def score(coded: DataFrame, model: Trained) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token)."""
+    """(doc_id, n_tokens, log_likelihood, per_token) of the documents that ``pruned`` encoded with the model's vocabulary."""
+    spread = float(np.log(2 * max(1, model.once)))
 
-    def work(chunk: int, m: Model, flat: np.ndarray, offsets: np.ndarray, row: pa.Table) -> dict:
-        size = np.diff(offsets)
-        some = size > 0
+    def work(chunk: int, m: Model, logs: np.ndarray, row: pa.Table) -> dict:
+        flat, first, size = _texts(row)
+        times = np.asarray(row["times"].combine_chunks().flatten())
+        logs[RARE] -= spread
         like = np.full(len(size), np.nan)
-        if some.any():
-            like[some] = forward(m, flat, offsets[:-1][some], size[some])
-        return {"doc_id": row["doc_id"].combine_chunks().flatten(), "n_tokens": pa.array(size), "log_likelihood": pa.array(like, from_pandas=True), "per_token": pa.array(like / np.maximum(size, 1), from_pandas=True)}
+        for at in _bundles(size):
+            like[at] = forward(m, flat, first[at], size[at])
+        some = np.flatnonzero(size > 0)
+        if len(some):
+            like[some] += np.add.reduceat(logs[flat], first[some])
+        ids, per = row["doc_id"].combine_chunks().flatten(), like / np.maximum(size, 1)
+        every = np.repeat(np.arange(len(size)), times)
+        return {"doc_id": ids.take(pa.array(every)), "n_tokens": pa.array(size[every]), "log_likelihood": pa.array(like[every], from_pandas=True), "per_token": pa.array(per[every], from_pandas=True)}
+
+    return _joined(coded, model, work, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double", ["chunk", "known", "symbols", "size", "doc_id", "times"])
+
 
-    return _joined(coded, model, work, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double", ["chunk", "known", "symbols", "size", "doc_id"], True)
+def score_docs(docs: DataFrame, model: Trained) -> DataFrame:
+    """The scores of documents that the model wasn't trained on."""
+    return score(pruned(encode(docs), model.vocabulary, model.bits), model)
 
 
-def score_corpus(docs: DataFrame, rounds: int | None = None) -> DataFrame:
-    model, coded = train(docs, rounds=rounds)
+def score_corpus(docs: DataFrame, sweeps: int | None = None) -> DataFrame:
+    model, coded, _ = train(docs, sweeps=sweeps)
     return score(coded, model)

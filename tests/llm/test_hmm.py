@@ -1,117 +1,127 @@
 from itertools import product
 
 import numpy as np
-
+import pytest
 from cairn.llm import hmm
 from conftest_words import word_list
 
 
 def model(seed=0, states=3, symbols=5):
     r = np.random.default_rng(seed)
-    emit = r.random((symbols, states))
+    emit = r.random((states, symbols))
     move = r.random((states, states))
     start = r.random(states)
-    return hmm.Model(np.zeros(0, np.uint64), symbols, start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    return hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), (emit / emit.sum(1, keepdims=True)).astype(np.float32))
 
 
 def paths(m, seq):
     for p in product(range(len(m.start)), repeat=len(seq)):
-        yield p, m.start[p[0]] * np.prod([m.move[a, b] for a, b in zip(p, p[1:])]) * np.prod([m.emit[s, k] for s, k in zip(seq, p)])
+        yield p, m.start[p[0]] * np.prod([m.move[a, b] for a, b in zip(p, p[1:])]) * np.prod([m.emit[k, s] for s, k in zip(seq, p)])
 
 
-def test_likelihood_and_counts_are_sums_over_all_paths():
-    m, seqs = model(), [[0, 1, 2, 3], [4], [2, 2, 0], [1, 0, 4, 4, 3]]
-    flat, size = np.array(sum(seqs, []), np.uint16), np.array([len(s) for s in seqs])
+@pytest.mark.parametrize("piece", [2048, 3, 2, 1])
+def test_likelihood_and_counts_are_sums_over_all_paths(monkeypatch, piece):
+    """Also where sequences are cut into pieces of a few words."""
+    monkeypatch.setattr(hmm, "PIECE", piece)
+    m, seqs, times = model(), [[0, 1, 2, 3], [4], [2, 2, 0], [1, 0, 4, 4, 3, 2, 1]], np.array([1, 3, 2, 1])
+    flat, size = np.array(sum(seqs, []), np.int32), np.array([len(s) for s in seqs])
     first = np.cumsum(size) - size
     like = hmm.forward(m, flat, first, size)
-    counts = np.zeros((5, 3))
-    start, moves, total = hmm.expected(m, flat, first, size, counts)
-    want_counts, want_start, want_moves = np.zeros((5, 3)), np.zeros(3), np.zeros((3, 3))
-    for s, ll in zip(seqs, like):
+    counts = np.zeros((3, 5))
+    start, moves, total = hmm.expected(m, flat, first, size, times, counts)
+    want_counts, want_start, want_moves = np.zeros((3, 5)), np.zeros(3), np.zeros((3, 3))
+    for s, ll, n in zip(seqs, like, times):
         whole = sum(p for _, p in paths(m, s))
-        assert np.isclose(np.exp(ll), whole)
+        assert np.isclose(np.exp(ll), whole, rtol=1e-4)
         for path, p in paths(m, s):
-            want_start[path[0]] += p / whole
+            want_start[path[0]] += n * p / whole
             for a, b in zip(path, path[1:]):
-                want_moves[a, b] += p / whole
+                want_moves[a, b] += n * p / whole
             for x, k in zip(s, path):
-                want_counts[x, k] += p / whole
-    assert np.isclose(total, like.sum())
-    assert np.allclose(counts, want_counts) and np.allclose(start, want_start) and np.allclose(moves, want_moves)
-
-
-def test_rounds_raise_the_likelihood(spark, documents):
-    first = hmm.initial(hmm.word_counts(documents), states=4, vocabulary=500, buckets=64)
-    coded = hmm.write_table(hmm._encode(documents, first), "t")
-    likes, m = [], first
-    for _ in range(4):
-        m, like = hmm.round_of(coded, m)
-        likes.append(like)
-    assert likes == sorted(likes) and likes[-1] > likes[0]
-
-
-def test_counts_cover_all_documents(spark, documents):
-    want = {}
-    for r in documents.collect():
-        for w in word_list(r.text):
-            want[w] = want.get(w, 0) + 1
-    got = hmm.word_counts(documents).collect()
-    assert sorted(r.n for r in got) == sorted(want.values())
+                want_counts[k, x] += n * p / whole
+    assert np.isclose(total, (like * times).sum(), rtol=1e-5)
+    assert np.allclose(counts, want_counts, rtol=1e-4) and np.allclose(start, want_start, rtol=1e-4) and np.allclose(moves, want_moves, rtol=1e-4)
 
 
-def test_scores_tell_prose_from_noise(spark, documents):
-    m, _ = hmm.train(documents, rounds=2)
-    rows = [(r.doc_id, r.text) for r in documents.filter("n_chars > 300").limit(20).collect()]
-    noise = [(1000 + i, " ".join(f"q{j}z{i}" for j in range(80))) for i in range(20)]
-    scores = {r.doc_id: r.per_token for r in hmm.score(hmm._encode(spark.createDataFrame(rows + noise, "doc_id bigint, text string"), m), m).collect()}
-    assert np.mean([scores[i] for i, _ in rows]) > np.mean([scores[i] for i, _ in noise])
+def counted(texts):
+    n = {}
+    for t in texts:
+        for w in word_list(t):
+            n[w] = n.get(w, 0) + 1
+    return n
+
+
+def test_the_vocabulary_and_totals_cover_all_documents(spark, documents):
+    raw = hmm.encode(documents)
+    m = hmm.initial(raw)
+    n = counted(r.text for r in documents.collect())
+    assert (m.size, m.total, m.once) == (sum(v > 1 for v in n.values()), sum(n.values()), sum(v == 1 for v in n.values()))
+    got = np.concatenate([np.frombuffer(r.counts) for r in m.vocabulary.collect()])
+    assert sorted(got) == sorted(v for v in n.values() if v > 1)
+    want = sum(v * np.log(v / m.total) for v in n.values() if v > 1) + m.once * np.log(m.once / m.total)
+    assert np.isclose(m.plain, want, rtol=1e-6)
+
+
+def test_the_registered_training_rises_with_every_sweep_and_beats_plain_frequencies(spark, documents):
+    m, coded, likes = hmm.train(documents)
+    assert likes == sorted(likes) and len(likes) > 2
+    assert likes[-1] > m.plain + 0.3 * m.total
+    t = sum(m.totals.values())
+    assert np.isclose(t[72:80].sum(), m.total, rtol=1e-4) and np.isclose(t[8:72].sum() + t[:8].sum(), m.total, rtol=1e-4)
+
+
+def test_held_out_text_is_more_probable_than_by_plain_frequencies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").dropDuplicates(["text"])
+    train, held = docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0")
+    m, _, _ = hmm.train(train)
+    n = counted(r.text for r in train.collect())
+    total, once = sum(n.values()), sum(v == 1 for v in n.values())
+    plain = {r.doc_id: sum(np.log(n[w] / total if n.get(w, 0) > 1 else 1 / (2 * total)) for w in word_list(r.text)) for r in held.collect()}
+    got = {r.doc_id: (r.log_likelihood or 0.0, r.n_tokens) for r in hmm.score_docs(held, m).collect()}
+    tokens = sum(t for _, t in got.values())
+    assert once == m.once and (sum(x for x, _ in got.values()) - sum(plain.values())) / tokens > 0.5
+
+
+def test_scores_are_the_sums_over_paths_of_the_trained_model(spark):
+    """The whole query against brute force: the parameters are read from the tables, and every path of short texts is summed."""
+    texts = ["red cat sat", "blue dog ran far", "red dog", "cat ran", "blue cat sat far", "new one here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    m, coded, _ = hmm.train(docs, states=2, batches=2, sweeps=2)
+    sums, rare, left = m.sums()
+    assert left == 0
+    counts, n = {}, {}
+    for r in m.vocabulary.collect():
+        n |= dict(zip(np.frombuffer(r.words, np.uint64).tolist(), np.frombuffer(r.counts).tolist()))
+    for t in m.tables.values():
+        for r in t.filter("words is not null").collect():
+            for w, c in zip(np.frombuffer(r.words, np.uint64).tolist(), np.frombuffer(r.counts, np.float32).reshape(-1, 2)):
+                counts[w] = counts.get(w, 0) + c
+    from cairn.llm.textkernel import words
+    import pyarrow as pa
+
+    for r in hmm.score(coded, m).collect():
+        emit = [(counts[w] + hmm.SHARE / 2 * n[w]) / sums if w in n else rare / sums / (2 * m.once) for w in words(pa.array([texts[r.doc_id]])).hash.tolist()]
+        whole = sum(m.start[p[0]] * np.prod([m.move[a, b] for a, b in zip(p, p[1:])]) * np.prod([e[k] for e, k in zip(emit, p)]) for p in product(range(2), repeat=len(emit)))
+        assert r.n_tokens == len(emit) and np.isclose(r.log_likelihood, np.log(whole), rtol=1e-5)
+
+
+def test_repartitioning_changes_no_score(spark, documents):
+    docs = documents.limit(80)
+    a, b = ({(r.doc_id, r.log_likelihood) for r in hmm.score_corpus(d, sweeps=2).collect()} for d in (docs.coalesce(1), docs.repartition(5)))
+    assert a == b and len(a) == 80
 
 
 def test_edges(spark, edges, nothing):
-    rows = hmm.score_corpus(edges, rounds=1).collect()
+    rows = hmm.score_corpus(edges, sweeps=1).collect()
     assert len(rows) == edges.count()
     for r in rows:
         assert (r.log_likelihood is None) == (r.n_tokens == 0) == (r.per_token is None)
     assert next(r for r in rows if r.doc_id == 7).n_tokens == 20_000
-    assert len({r.log_likelihood for r in rows if r.doc_id == 5}) == 1
-    assert hmm.score_corpus(nothing, rounds=1).count() == 0
-
-
-def test_training_goes_on_until_it_beats_plain_frequencies_on_held_out_text(spark):
-    r = np.random.default_rng(3)
-    topics = [[f"t{k}w{i}" for i in range(40)] for k in range(4)]
-    texts = [" ".join(r.choice(topics[i % 4], 60)) for i in range(400)]
-    docs = spark.createDataFrame(list(enumerate(texts[:320])), "doc_id bigint, text string")
-    held = spark.createDataFrame(list(enumerate(texts[320:])), "doc_id bigint, text string")
-    m, _ = hmm.train(docs)
-    n = {}
-    for w in " ".join(texts[:320]).split():
-        n[w] = n.get(w, 0) + 1
-    plain = np.mean([np.log(n[w] / 19_200) for w in " ".join(texts[320:]).split()])
-    assert np.mean([x.per_token for x in hmm.score(hmm._encode(held, m), m).collect()]) > plain + 0.5
+    assert len([r for r in rows if r.doc_id == 5]) == 2 and len({r.log_likelihood for r in rows if r.doc_id == 5}) == 1
+    assert hmm.score_corpus(nothing).count() == 0
 
 
 def test_a_plateau_below_plain_frequencies_is_not_convergence():
-    assert not hmm.converged([-101.0, -100.0, -99.999, -99.998], -99.0)
-    assert hmm.converged([-101.0, -98.0, -97.999, -97.998], -99.0)
-    assert not hmm.converged([-101.0, -98.0], -99.0) and hmm.converged([0.0], 0.0)
-
-
-def test_every_word_has_an_emission_of_its_own_and_unseen_words_share_theirs(spark):
-    rare = [f"rare{i}" for i in range(40_000)]
-    docs = spark.createDataFrame([(0, " ".join(rare)), (1, "known " * 5_000 + " ".join(rare[:20_000]))], "doc_id bigint, text string")
-    m, _ = hmm.train(docs, rounds=2)
-    new = spark.createDataFrame(list(enumerate([*rare, "known", "neverseen", None])), "doc_id bigint, text string")
-    got = {r.doc_id: r.log_likelihood for r in hmm.score(hmm._encode(new, m), m).collect()}
-    p = np.exp([got[i] for i in range(40_002)])
-    assert p[:20_000].mean() > 1.5 * p[20_000:40_000].mean() > 1.5 * p[40_001] > 0 and got[40_002] is None
-    assert np.isclose(p[:40_001].sum() + m.unseen[0], 1, atol=1e-4) and np.isclose(p[40_001], m.unseen[1], rtol=1e-4)
-
-
-def test_chunks_do_not_change_the_scores(spark, documents, monkeypatch):
-    docs = documents.limit(60)
-    whole = {r.doc_id: r.log_likelihood for r in hmm.score_corpus(docs, rounds=2).collect()}
-    monkeypatch.setattr(hmm, "CHUNK", 1)
-    monkeypatch.setattr("cairn.llm.hmm.pieces", lambda b, c: (b.slice(i, 7) for i in range(0, b.num_rows, 7)))
-    cut = {r.doc_id: r.log_likelihood for r in hmm.score_corpus(docs, rounds=2).collect()}
-    assert whole.keys() == cut.keys() and all(np.isclose(whole[k], cut[k], rtol=1e-4) for k in whole if whole[k] is not None)
+    assert not hmm.converged([-100.0, -99.99], -99.0)
+    assert hmm.converged([-98.0, -97.99], -99.0)
+    assert not hmm.converged([-98.0], -99.0) and hmm.converged([0.0], 0.0)
