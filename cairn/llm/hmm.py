@@ -23,6 +23,7 @@ weight); a null doc_id is carried along. Very long texts are one sequence. An em
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,9 +43,10 @@ TOLERANCE, PLATEAU = 1e-3, 1e-2
 SPREAD, STAY = 4.0, 100.0  #: logarithmic range of the first emissions' noise, and weight of staying in a state: both tell the states apart from the first sweep on
 SHARE = 0.02  #: of a word's count, given to its states in equal parts besides what was counted
 MOVED = 1.0  #: added to the count of every start and move
-CHUNK = 12 << 20  #: bytes of text
+CHUNK = 6 << 20  #: bytes of text
 PART = 1 << 15  #: words of a part of the emissions, about
-PIECE, STEP = 2048, 1 << 20  #: words of a sequence, and of all sequences that advance in step
+PIECE, STEP = 768, 1 << 20  #: words of a sequence, and of all sequences that advance in step
+RESCALE = 4  #: steps between two scalings
 UNIT = 65536.0  #: totals are counted in so many parts
 RARE = 0  #: the symbol of words seen once
 COUNTS = "part int, chunk bigint, words binary, counts binary, totals array<bigint>"
@@ -110,17 +112,19 @@ def transfers(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, o
     k, n, out = len(m.start), len(first), np.empty((len(first), len(m.start), len(m.start)))
     order = np.argsort(-size, kind="stable")
     active, before, places = _in_step(first[order], size[order])
-    a = np.where(np.repeat(opens[order], k)[None, :], m.start[:, None], np.tile(m.move.T, (1, n))).astype(np.float32)
-    step = m.move.T.astype(np.float32)
+    a = np.where(opens[order], m.start[:, None, None], m.move.T[:, :, None]).astype(np.float32)  # state, state before, piece
+    step, emit = m.move.T.astype(np.float32), np.take(m.emit, flat[places], 1)
+    final = set(np.flatnonzero(np.diff(active, append=0)).tolist())
     for t, (c, x) in enumerate(zip(active, before)):
-        if c * k < a.shape[1]:
-            out[order[c : a.shape[1] // k]] = a[:, c * k :].T.reshape(-1, k, k)
-            a = a[:, : c * k]
         if t:
-            a = step @ a
-        a = a * np.repeat(m.emit[:, flat[places[x : x + c]]], k, 1)
-        a /= np.repeat(a.reshape(k, c, k).max((0, 2)), k)
-    out[order[: a.shape[1] // k]] = a.T.reshape(-1, k, k)
+            a = (step @ a.reshape(k, -1)).reshape(k, k, c)
+        a *= emit[:, None, x : x + c]
+        if not t % RESCALE or t in final:
+            a /= a.max((0, 1))
+        if t in final:
+            go = active[t + 1] if t + 1 < len(active) else 0
+            out[order[go:c]] = a[:, :, go:].transpose(2, 1, 0)
+            a = np.ascontiguousarray(a[:, :, :go])
     return out
 
 
@@ -168,13 +172,16 @@ def _forward(m: Model, flat: np.ndarray, p: Pieces) -> tuple[list[int], list[int
     alpha, scale = np.empty_like(emit), np.empty(emit.shape[1], np.float32)
     step, ones = np.ascontiguousarray(m.move.T).astype(np.float32), np.ones(len(m.start), np.float32)
     a = np.where(p.opens[None, :], m.start[:, None], m.move.T @ p.entry).astype(np.float32)
+    scale.fill(1)
+    final = set(np.flatnonzero(np.diff(active, append=0)).tolist())
     for t, (c, x) in enumerate(zip(active, before)):
         if t:
             a = step @ a[:, :c]
         a *= emit[:, x : x + c]
-        s = ones @ a
-        a /= s
-        alpha[:, x : x + c], scale[x : x + c] = a, s
+        if not t % RESCALE or t in final:
+            s = scale[x : x + c] = ones @ a
+            a /= s
+        alpha[:, x : x + c] = a
     return active, before, symbols, emit, alpha, scale
 
 
@@ -207,8 +214,9 @@ def expected(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, ti
         ahead *= b
         alpha[:, x : x + c] *= b
         moves += alpha[:, y : y + c] @ ahead.T
-        b = np.empty((len(m.start), active[t - 1]), np.float32)
-        b[:, :c], b[:, c:] = move @ ahead, leave[:, c : active[t - 1]]
+        b = move @ ahead
+        if (more := active[t - 1]) > c:
+            b = np.concatenate([b, leave[:, c:more]], 1)
     c = active[0]
     inner = ~p.opens
     moves += (p.entry * weight)[:, inner] @ (emit[:, :c] * b)[:, inner].T
@@ -231,6 +239,13 @@ def _bundles(size: np.ndarray) -> Iterator[np.ndarray]:
 # --- chunks
 
 
+def _release() -> None:
+    """Gives memory that a worker has freed back to its machine: the next chunk may go to another worker."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
 
@@ -271,6 +286,8 @@ def encode(docs: DataFrame, batches: int = BATCHES, chunk_bytes: int = CHUNK) ->
         known, symbols = np.unique(flat, return_inverse=True)
         seen = np.bincount(symbols, np.repeat(n, size), len(known)).astype(np.int64)
         chunk = t["chunk"][0].as_py()
+        del t, flat
+        _release()
         return _chunk(chunk, chunk % batches, known, seen, symbols, size, ids.take(pa.array(at)), pa.array(n))
 
     rows = placed.mapInArrow(tokenise, "chunk bigint, doc_id array<bigint>, h array<bigint>, times array<bigint>, size array<bigint>, words binary")
@@ -458,6 +475,8 @@ def batch_of(coded: DataFrame, model: Trained, batch: int) -> tuple[Trained, flo
         totals = (np.r_[start, moves.ravel(), counts.sum(1), like, counts[:, RARE]] * UNIT).round().astype(np.int64).tolist()
         by_word = np.ascontiguousarray(counts[:, 1:].T, np.float32)
         rows = [(p, chunk, known[a:b].tobytes(), by_word[a:b].tobytes(), None) for p, a, b in _parts(known, bits)]
+        del counts, by_word
+        _release()
         return _rows([(chunk % (1 << bits), chunk, None, None, totals), *rows])
 
     def merge(t: pa.Table) -> pa.Table:
@@ -525,6 +544,8 @@ def score(coded: DataFrame, model: Trained) -> DataFrame:
             like[some] += np.add.reduceat(logs[flat], first[some])
         ids, per = row["doc_id"].combine_chunks().flatten(), like / np.maximum(size, 1)
         every = np.repeat(np.arange(len(size)), times)
+        del flat
+        _release()
         return {"doc_id": ids.take(pa.array(every)), "n_tokens": pa.array(size[every]), "log_likelihood": pa.array(like[every], from_pandas=True), "per_token": pa.array(per[every], from_pandas=True)}
 
     return _joined(coded, model, work, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double", ["chunk", "known", "symbols", "size", "doc_id", "times"])
