@@ -23,6 +23,15 @@ def eight(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,)).byteswap()
 
 
+def counted(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """As ``eight``, for bytes that may be zero: seven bytes from each place on and, in the last place, how many of them there are before ``stop``; so
+    zeros differ from what is missing, and the shorter of two sorts first."""
+    n = len(data)
+    there = np.minimum(np.r_[stop - np.arange(n), 0], 7).astype(np.uint64)
+    keep = ~((np.uint64(1) << ((np.uint64(8) - there) * np.uint64(8))) - np.uint64(1))
+    return np.where(there > 0, (eight(data) & np.where(there > 0, keep, 0)) | there, 0)
+
+
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Prefix doubling from eight bytes on. A suffix that is the beginning of another one comes first."""
     n = len(data)
@@ -86,33 +95,45 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A dictionary that can be searched. ``plain``: it has no zero byte."""
+    """A dictionary that can be searched. ``plain``: words are eight bytes, for neither dictionary nor texts have a zero byte; else they are
+    ``counted``, and hold one byte less."""
 
     data: np.ndarray
     order: np.ndarray
-    head: np.ndarray  #: first eight bytes by suffix order
-    words: np.ndarray  #: eight bytes from each place on
-    steps: list[np.ndarray]  #: by suffix order: where the suffixes begin that share the bytes before, and the next four bytes
+    head: np.ndarray  #: first word by suffix order
+    words: np.ndarray  #: the word from each place on
+    steps: list[np.ndarray]  #: by suffix order: where the suffixes begin that share the bytes before, and the next half word
     least: LeastIn
     plain: bool
+    _other: Index | None = None
 
     @staticmethod
-    def of(dictionary: bytes, order: np.ndarray | None = None) -> Index:
+    def of(dictionary: bytes, order: np.ndarray | None = None, plain: bool | None = None) -> Index:
         """``order``: the suffix array, if it is known already."""
         if len(dictionary) > MAX_DICTIONARY:
             raise ValueError(f"a dictionary has at most {MAX_DICTIONARY} bytes, for it goes to every executor")
         data = np.frombuffer(dictionary, np.uint8)
-        order = suffix_array(data) if order is None else order.astype(np.int64)
-        words, n = eight(data), len(data)
-        head, steps, depth = words[order], [], 8
-        apart = np.r_[True, head[1:] != head[:-1]][:n]
+        order, n = suffix_array(data) if order is None else order.astype(np.int64), len(data)
+        plain = not (data == 0).any() if plain is None else plain
+        words = eight(data) if plain else counted(data, np.full(n, n))
+        out = Index(data, order, words[order], words, [], LeastIn(order), plain)
+        depth = out.wide
+        apart = np.r_[True, out.head[1:] != out.head[:-1]][:n]
         for _ in range(6 if n <= 4 << 20 else 2):
             begin = np.flatnonzero(apart)
             group = begin[np.cumsum(apart) - 1] if n else begin
-            steps.append((group.astype(np.uint64) << np.uint64(32)) | (words[np.minimum(order + depth, n)] >> np.uint64(32)))
-            apart = np.r_[True, steps[-1][1:] != steps[-1][:-1]][:n]
-            depth += 4
-        return Index(data, order, head, words, steps, LeastIn(order), not (data == 0).any())
+            out.steps.append((group.astype(np.uint64) << np.uint64(32)) | out._half(words[np.minimum(order + depth, n)]))
+            apart = np.r_[True, out.steps[-1][1:] != out.steps[-1][:-1]][:n]
+            depth += out.wide // 2
+        return out
+
+    @property
+    def wide(self) -> int:
+        """Bytes of a word; a half word has half as many, rounded down."""
+        return 8 if self.plain else 7
+
+    def _half(self, words: np.ndarray) -> np.ndarray:
+        return words >> np.uint64(32) if self.plain else (words >> np.uint64(40) << np.uint64(8)) | np.minimum(words & np.uint64(0xFF), np.uint64(3))
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, depth: int, key: np.ndarray, right: bool) -> np.ndarray:
         """Where in each range of suffixes the eight bytes at ``depth`` reach (or pass) key."""
@@ -132,24 +153,24 @@ class Index:
         most = np.minimum(room, len(self.data) - place)
         done, on, width = np.zeros(len(at), np.int64), np.flatnonzero(most > 0), 1
         while len(on):
-            cols = np.arange(width) * 8
+            cols = np.arange(width) * self.wide
             a = words[np.minimum((at[on] + done[on])[:, None] + cols, len(words) - 1)]
             b = self.words[np.minimum((place[on] + done[on])[:, None] + cols, len(self.data))]
             differ = a != b
             first = np.where(differ.any(1), differ.argmax(1), width)
             some = first < width
-            done[on] += first * 8
+            done[on] += first * self.wide
             row = np.flatnonzero(some)
-            done[on[row]] += _shared(a[row, first[row]], b[row, first[row]])
+            done[on[row]] += np.minimum(_shared(a[row, first[row]], b[row, first[row]]), self.wide)
             on = on[~some]
             on = on[done[on] < most[on]]
             width = min(64, width * 4)
         return np.minimum(done, most)
 
     def longest(self, words: np.ndarray, at: np.ndarray, room: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """For texts that begin at ``at`` in words (eight bytes each), ``room`` bytes long: length of the longest match, and its
-        leftmost place where it is longer than ``least``. Without zero bytes in text and dictionary, so zeros stand past an end
-        only, and equal bytes with none of them are a true match."""
+        """For texts that begin at ``at`` in words (of the index's kind), ``room`` bytes long: length of the longest match, and its
+        leftmost place where it is longer than ``least``. In plain words zeros stand past an end only, so equal words without one are a true
+        match; equal counted words are one if they are full, which a text's word with room is."""
         k, n = len(at), len(self.data)
         length, lo, hi = np.zeros(k, np.int64), np.zeros(k, np.int64), np.full(k, n)
         known, depth, on, turn = np.full(k, LITERAL), 0, np.arange(k), 0
@@ -171,11 +192,12 @@ class Index:
                 word = np.where(depth < room[on], word, np.uint64(0))
             l0, h0 = lo[on], hi[on]
             if turn == 0:
-                table, width, key = self.head, 8, word
+                table, width, key = self.head, self.wide, word
             elif turn <= len(self.steps):
-                table, width, key = self.steps[turn - 1], 4, (l0.astype(np.uint64) << np.uint64(32)) | (word >> np.uint64(32))
+                table, width, key = self.steps[turn - 1], self.wide // 2, (l0.astype(np.uint64) << np.uint64(32)) | self._half(word)
             else:
-                table, width, key = None, 8, word
+                table, width, key = None, self.wide, word
+            places, front = (4, 4) if 0 < turn <= len(self.steps) else (8, 0)  # of the key: bytes that vary, and those that don't
 
             def find(low: np.ndarray, high: np.ndarray, x: np.ndarray, y: np.ndarray, table=table, depth=depth) -> tuple[np.ndarray, np.ndarray]:
                 if table is not None:
@@ -184,7 +206,7 @@ class Index:
                 return first, self._bound(first, y, depth, high, True)
 
             a, b = find(key, key, l0, h0)
-            full = (a < b) & (room[on] - depth >= width) & ((key & np.uint64(0xFF)) != 0)
+            full = (a < b) & (room[on] - depth >= width) & (((key & np.uint64(0xFF)) != 0) | (not self.plain))
             rest = np.flatnonzero(~full)
             if len(rest):
                 r, q, x, l1, h1 = on[rest], key[rest], a[rest], l0[rest], h0[rest]
@@ -194,13 +216,13 @@ class Index:
                     z = np.clip(y, 0, max(0, n - 1))
                     s = self.order[z] + depth if n else z
                     other = self.words[np.minimum(s, n)] if table is None else table[z] if n else q
-                    common = np.minimum(_shared(q, other) - (8 - width), np.minimum(room[r] - depth, n - s))
+                    common = np.minimum(np.minimum(_shared(q, other) - front, width), np.minimum(room[r] - depth, n - s))
                     best = np.maximum(best, np.where(ok, common, 0))
                 length[r] = depth + best
                 z = np.flatnonzero((best > 0) & (best < width) & (length[r] > least))
                 if len(z):
-                    below = (np.uint64(1) << ((width - best[z]).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
-                    lo[r[z]], hi[r[z]] = find(q[z] & ~below, q[z] | below, l1[z], h1[z])
+                    below = (np.uint64(1) << ((places - best[z]).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+                    lo[r[z]], hi[r[z]] = find((q[z] & ~below) | (np.uint64(0) if self.plain else best[z].astype(np.uint64)), q[z] | below, l1[z], h1[z])
                 eq = best == width
                 lo[r[eq]], hi[r[eq]] = a[rest][eq], b[rest][eq]
             on, a, b = on[full], a[full], b[full]
@@ -218,15 +240,49 @@ class Index:
         """Greedy parse of each block: offsets (LITERAL for a literal) and lengths of its factors. Matches no longer
         than ``threshold`` are literals, and neighbouring literals merge while they are no longer than that together. With ``times`` 2 a
         match must occur twice in the dictionary."""
-        if not self.plain or any(b"\0" in b for b in blocks) or times > 1:
+        if times > 1:
             pairs = [self._parse_one(b, threshold, times) for b in blocks]
             return [p[0] for p in pairs], [p[1] for p in pairs]
+        zero = np.array([b"\0" in b for b in blocks], bool)
+        if self.plain and zero.any():  # those blocks by counted words, the others by plain ones
+            out: tuple[list, list] = ([None] * len(blocks), [None] * len(blocks))
+            for index, some in ((self, np.flatnonzero(~zero)), (self.counting(), np.flatnonzero(zero))):
+                for i, o, n in zip(some.tolist(), *index.parse([blocks[i] for i in some], threshold)):
+                    out[0][i], out[1][i] = o, n
+            return out
         sizes = np.array([len(b) for b in blocks], np.int64)
         first = np.cumsum(sizes + 8) - (sizes + 8)
-        words = eight(np.frombuffer(b"".join(x for b in blocks for x in (b, bytes(8))), np.uint8))
+        flat = np.frombuffer(b"".join(x for b in blocks for x in (b, bytes(8))), np.uint8)
+        words = eight(flat) if self.plain else counted(flat, np.repeat(first + sizes, sizes + 8))
         length, where = self._walk(words, first, first + sizes, threshold)
         return self._factors(length, where, first, first + sizes, threshold)
 
+    def counting(self) -> Index:
+        """The same dictionary by counted words; made once, when a text with a zero byte comes."""
+        if self._other is None:
+            self._other = Index.of(self.data.tobytes(), self.order, False)
+        return self._other
+
+    def repeats(self) -> np.ndarray:
+        """For each place of the dictionary how many bytes from there on occur at another place too."""
+        n = len(self.order)
+        out = np.zeros(n, np.int64)
+        for a in range(0, n - 1, 1 << 20):
+            x, y = self.order[a : min(n - 1, a + (1 << 20))], self.order[a + 1 : min(n - 1, a + (1 << 20)) + 1]
+            common = self._extend(self.words, x, y, n - x)
+            out[x] = np.maximum(out[x], common)
+            out[y] = np.maximum(out[y], common)
+        return out
+
+    def factors_by_repeats(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many factors each segment of the dictionary takes, by matches that occur twice in it at least: all segments in step."""
+        longest, at, n, on = self.repeats(), begin.copy(), np.zeros(len(begin), np.int64), np.flatnonzero(begin < end)
+        while len(on):
+            n[on] += 1
+            at[on] += np.maximum(1, np.minimum(longest[at[on]], end[on] - at[on]))
+            on = on[at[on] < end[on]]
+        return n
+
     def _walk(self, words: np.ndarray, first: np.ndarray, stop: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
         """Longest matches at all places that greedy parses of the blocks visit, and at few others. Besides the block's begin,
         a walk starts at every STRIPE-th byte, and ends where another one has been. Walks soon meet, so what follows
@@ -273,7 +329,7 @@ class Index:
         return offsets, lengths
 
     def _parse_one(self, block: bytes, threshold: int, times: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same for any bytes, one factor after another."""
+        """The same, one factor after another, with any number of occurrences."""
         text, offsets, lengths, p, last = self.data.tobytes(), [], [], 0, -1
         while p < len(block):
             n, where = self._one(text, block, p, times)

@@ -82,10 +82,9 @@ def prune_care(data: bytes, use: DataFrame, target: int, most: int = 8, shortest
             break
         most, shortest = (most * 2, shortest) if most < top else (most, max(1, shortest // 2))
     index = Index.of(data)
-    _, lengths = index.parse([data[a:b] for a, b in zip(begin, end)], 0, 2)
     used = np.r_[0, np.cumsum(freq)]
     size = end - begin
-    score = np.array([len(x) for x in lengths]) * (used[end] - used[begin]) / size
+    score = index.factors_by_repeats(begin, end) * (used[end] - used[begin]) / size
     score = score / size if method == "FFT" else score
     keep, left = np.ones(len(data), bool), away
     for i in np.lexsort((begin, score)):

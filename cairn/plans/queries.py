@@ -16,6 +16,7 @@ from cairn.plans.scratch import write_table
 from cairn.sources.corpus import doc_order, replaced, sanitize, to_corpus
 
 B = 16 << 10
+REQUESTS = 9973  #: ranges that are read, spread over the whole text
 CFG = store.StoreConfig(block_size=B, dict_bytes=256 << 10)
 
 
@@ -61,6 +62,14 @@ def turn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_corpus(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text").select("conv_id", "turn", "start")
 
 
+def odd_ids_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of events under an id that is null for some and shared by many, and whose columns are called as the corpus' own."""
+    e = _table(spark, sf_dir, "events")
+    odd = e.select(F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("event_id") % 100).alias("start"), F.col("event_type").alias("content"), F.col("event_type").alias("part"), F.col("event_id").cast("string").alias("t"))
+    c = to_corpus(odd, ["start", "content"], "t")
+    return c.groupBy(F.coalesce("id_start", F.lit(-1)).alias("id_start"), "id_content").agg(F.count("*").alias("n"), F.min("start").alias("begin"), (F.max(F.col("start") + F.col("n_bytes"))).alias("stop"), F.sum(F.col("content").cast("string").cast("bigint")).alias("total"))
+
+
 def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode(F.expr("replace(replace(url, '/', chr(0)), ':', chr(1))"), "UTF-8")
     return _table(spark, sf_dir, "pages").select("page_id", F.hex(sanitize(raw)).alias("clean"), F.coalesce(replaced(raw), F.lit(0)).cast("bigint").alias("n_replaced"))
@@ -77,7 +86,7 @@ def blocks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _requests(spark: SparkSession, blocks: DataFrame) -> DataFrame:
     size = dictionary.text_size(blocks)
-    return spark.range(1000).select(F.col("id").alias("req_id"), (F.col("id") * 1037389 % max(1, size)).alias("off"), F.lit(16384).cast("bigint").alias("len"))
+    return spark.range(REQUESTS).select(F.col("id").alias("req_id"), F.expr(f"id * 1000003 % {REQUESTS} * {size}L div {REQUESTS}").alias("off"), F.lit(16384).cast("bigint").alias("len"))
 
 
 def raw_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +315,7 @@ def archive_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OWN = [
-    corpus_offsets, turn_offsets, sanitized, docno_order, blocks_raw, raw_ranges, uniform_dictionary, coverage_dictionary, assembled_segments, store_roundtrip, store_empty_dictionary,
+    corpus_offsets, turn_offsets, odd_ids_blocks, sanitized, docno_order, blocks_raw, raw_ranges, uniform_dictionary, coverage_dictionary, assembled_segments, store_roundtrip, store_empty_dictionary,
     store_coverage, store_assemble, store_assemble_disjoint, store_pruned_rem, store_pruned_care, store_pruned_care_fft, store_u32v, store_two_stream, store_reencoded, store_ranges, store_documents, store_verify,
     store_factor_bytes, codec_arrays, greedy_parse, length_histogram, literal_share, dictionary_usage, usage_thresholds, zero_runs, zero_places, heatmap, prune_rem_blocks, care_runs, kgram_counts,
     count_of_counts, rabin_karp_hashes, sketch_bounds, encoding_summary, block_sizes, document_sizes, archive_ratios,
@@ -321,7 +330,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _TEXT = "t AS (SELECT encode(string_agg(text, '' ORDER BY doc_id)) AS b FROM documents), n AS (SELECT octet_length(b) AS n FROM t)"
 _BLOCKS = f"""WITH {_TEXT} SELECT CAST(i AS BIGINT) AS block_id, CAST(least({B}, n - i * {B}) AS INTEGER) AS raw_len, sha256(b[i * {B} + 1:(i + 1) * {B}]) AS sha
     FROM t, n, range(0, (SELECT (n + {B} - 1) // {B} FROM n)) r(i)"""
-_RANGES = f"""WITH {_TEXT}, q AS (SELECT i, (i * 1037389) % n AS off FROM n, range(0, 1000) r(i))
+_RANGES = f"""WITH {_TEXT}, q AS (SELECT i, (i * 1000003 % {REQUESTS}) * n // {REQUESTS} AS off FROM n, range(0, {REQUESTS}) r(i))
     SELECT CAST(i AS BIGINT) AS req_id, sha256(b[off + 1:least(off + 16384, n)]) AS sha FROM t, n, q"""
 _SAMPLES = f"""WITH {_TEXT}, s AS (SELECT greatest(1024, n // {CFG.dict_bytes // 1024}) AS step FROM n)
     SELECT CAST(i AS BIGINT) AS sample_id, CAST(i * step AS BIGINT) AS text_pos, sha256(b[i * step + 1:least(i * step + 1024, n)]) AS sha
@@ -342,6 +351,9 @@ _SQL = {
         FROM (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n FROM documents)""",
     "turn_offsets": """SELECT conv_id, turn, CAST(sum(n) OVER (ORDER BY conv_id, turn) - n AS BIGINT) AS start
         FROM (SELECT conv_id, turn, coalesce(octet_length(encode(text)), 0) AS n FROM conversations)""",
+    "odd_ids_blocks": """WITH e AS (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 100 END AS id_start, event_type AS id_content, CAST(event_id AS VARCHAR) AS t FROM events),
+        g AS (SELECT id_start, id_content, count(*) AS n, sum(length(t)) AS b, CAST(sum(CAST(t AS BIGINT)) AS BIGINT) AS total FROM e GROUP BY ALL)
+        SELECT coalesce(id_start, -1) AS id_start, id_content, n, CAST(sum(b) OVER o - b AS BIGINT) AS "begin", CAST(sum(b) OVER o AS BIGINT) AS stop, total FROM g WINDOW o AS (ORDER BY id_start NULLS FIRST, id_content NULLS FIRST)""",
     "sanitized": """SELECT page_id, replace(replace(hex(encode(translate(url, '/:', chr(254) || chr(255)))), 'C3BE', 'FE'), 'C3BF', 'FF') AS clean,
         CAST(length(url) - length(translate(url, '/:', '')) AS BIGINT) AS n_replaced FROM pages""",
     "docno_order": """SELECT 'D-' || doc_id AS docno, CAST(sum(n) OVER (ORDER BY doc_id) - n + 6 AS BIGINT) AS pos

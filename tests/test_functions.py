@@ -102,3 +102,22 @@ def test_suffix_array(data):
 def test_gram_hashes():
     h = gram_hashes(b"abcabc", 3)
     assert len(h) == 4 and h[0] == h[3] and len(set(h.tolist())) == 3 and not len(gram_hashes(b"ab", 3))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 1, 255]), max_size=120), st.lists(st.lists(st.sampled_from([0, 0, 1, 7, 255]), max_size=90), max_size=4), st.integers(0, 4))
+def test_zero_bytes_are_bytes_like_others(d, blocks, threshold):
+    data, raw = bytes(d), [bytes(b) for b in blocks]
+    offsets, lengths = Index.of(data).parse(raw, threshold)
+    for b, o, n in zip(raw, offsets, lengths):
+        assert (o.tolist(), n.tolist()) == brute(data, b, threshold)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 2]), min_size=1, max_size=120), st.data())
+def test_factors_by_repeats_are_those_of_the_restricted_parse(d, draw):
+    data = bytes(d)
+    cuts = sorted(draw.draw(st.lists(st.integers(0, len(data)), min_size=2, max_size=6)))
+    begin, end = np.array(cuts[:-1]), np.array(cuts[1:])
+    want = [len(brute(data, data[a:b], 0, 2)[1]) for a, b in zip(begin, end)]
+    assert Index.of(data).factors_by_repeats(begin, end).tolist() == want

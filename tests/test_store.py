@@ -11,7 +11,7 @@ from cairn.plans.scratch import write_table
 from cairn.sources.corpus import doc_order, read_files, read_trec, sanitize, to_corpus
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["part", "documents", "pages", "conversations", "lineitem"]
+TABLES = ["part", "events", "documents", "pages", "conversations", "lineitem"]
 SLOW = {"kgram_counts", "count_of_counts"}
 
 
@@ -166,3 +166,19 @@ def test_sampling_rate_and_dictionaries_do_not_depend_on_what_fits_a_task(spark,
     monkeypatch.setattr(dictionary, "MAX_SAMPLED", 1500, raising=False)
     monkeypatch.setattr(dictionary, "SHARD", 1500, raising=False)
     assert whole[0] and whole[1] and run() == whole
+
+
+@pytest.mark.parametrize("names", [("a", "b"), ("part", "start"), ("content", "n_bytes"), ("ids", "turn"), ("within", "before")])
+def test_corpus_of_odd_ids_keeps_every_byte(spark, names):
+    """Null and repeated ids, names that clash, zero bytes, empty texts, repeated rows; in any partitioning."""
+    rows = [(None, 1, b"null\0"), (1, None, b"aa"), (1, None, b"b"), (None, None, b""), (2, 2, b"same"), (2, 2, b"same"), (0, 5, None), (None, 1, b"other"), (3, 1, bytes(range(256)))]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{names[0]} int, {names[1]} int, t binary, total int").repartition(3)
+    got = to_corpus(df, list(names), "t").orderBy("start", "n_bytes").collect()
+    assert len(got) == len(rows) and got[0].start == 0
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert [tuple(r)[:2] for r in got if r.n_bytes] == sorted(((a, b) for a, b, t in rows if t), key=key)
+    assert all(a.start + a.n_bytes == b.start for a, b in zip(got, got[1:]))
+    whole = b"".join(bytes(r.content) for r in got)
+    blocks = to_blocks(to_corpus(df, list(names), "t"), 8).orderBy("block_id").collect()
+    assert b"".join(bytes(r.content) for r in blocks) == whole and all(len(r.content) == 8 for r in blocks[:-1])
+    assert sorted(bytes(r.content) for r in got) == sorted(t or b"" for _, _, t in rows)
