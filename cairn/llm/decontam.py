@@ -1,17 +1,18 @@
 """Benchmark decontamination: Wu-Manber search for the test strings of a benchmark in all documents.
 
 Texts are compared as their words (``textkernel.WORD``), joined by single spaces. Test strings are all runs of
-``window`` words of an item; an item with fewer words, but ``shortest`` at least, is one test string. A document is
+``window`` words of an item; an item with fewer words is one test string. A document is
 contaminated by an item if a test string of it occurs in the document, from word to word.
 
 The search follows Wu and Manber: a window as long as the shortest test string moves over the text; the hash of its last
-eight bytes (a block) gives the shift to the next position at which any test string could end, and impossible positions
+eight bytes (a block; fewer for strings that are shorter) gives the shift to the next position at which any test string could end, and impossible positions
 are never looked at. Where the shift is 0, the bucket of that block's hash lists the test strings with this block at this
 place; their first eight bytes are compared, and then all. Many stripes of text move in step, by whole-array operations.
+Strings of under 8, under 16 and more bytes have tables of their own, so that few short ones don't shorten all shifts.
 Tables of more than ``TABLE_BYTES`` of test strings are split, and each part is searched for in turn.
 
-Defined cases. A null or empty document contains nothing. An item that is null or has fewer than ``shortest`` words is no
-test string (it would be common speech), so it matches nothing. Items with equal text are all reported. Repeated documents
+Defined cases. A null or empty document contains nothing. An item that is null or has no word has no test string, so it matches
+nothing. Items with equal text are all reported. Repeated documents
 yield one row for each (doc_id, item_id), with the most windows of any. A null doc_id is reported as null by
 ``contaminated``; ``keep_clean`` looks at each row by itself, so ids don't matter. Empty tables give an empty result, or
 leave all documents. Extra columns are not read.
@@ -31,7 +32,6 @@ from cairn.llm.common import pieces
 from cairn.llm.textkernel import Words, words
 
 WINDOW = 8
-SHORTEST = 5
 BLOCK = 8
 STRIPE = 2048
 TABLE_BYTES = 64 << 20
@@ -51,16 +51,13 @@ def joined(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, offsets
 
 
-def test_strings(texts: list[str | None], window: int = WINDOW, shortest: int = SHORTEST) -> list[list[bytes]]:
+def test_strings(texts: list[str | None], window: int = WINDOW) -> list[list[bytes]]:
     """The different test strings of each item, with a space at both ends."""
     w, out = words(pa.array(texts, pa.string())), []
     for a, b in zip(w.first[:-1], w.first[1:]):
         word = [w.flat[s:e].tobytes() for s, e in zip(w.start[a:b], w.end[a:b])]
-        if len(word) < shortest:
-            out.append([])
-        else:
-            size = min(window, len(word))
-            out.append(sorted({b" " + b" ".join(word[i : i + size]) + b" " for i in range(len(word) - size + 1)}))
+        size = min(window, len(word))
+        out.append(sorted({b" " + b" ".join(word[i : i + size]) + b" " for i in range(len(word) - size + 1)}) if word else [])
     return out
 
 
@@ -71,35 +68,37 @@ def _eight(buffer: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Wu-Manber tables of test strings of at least BLOCK bytes."""
+    """Wu-Manber tables of test strings."""
 
     size: int  #: bytes of the window
+    block: int  #: of its last block
     bits: int
     shift: np.ndarray
     bucket: np.ndarray  #: test strings by the hash of the window's last block
     begin: np.ndarray  #: where the bucket of each hash begins
     start: np.ndarray  #: of each test string in flat
     length: np.ndarray
-    prefix: np.ndarray
+    prefix: np.ndarray  #: its first eight bytes, and which of these it has
+    masks: np.ndarray
     flat: np.ndarray
 
     @staticmethod
     def of(strings: list[bytes]) -> Table:
         length = np.array([len(s) for s in strings], np.int64)
-        if length.min() < BLOCK:
-            raise ValueError(f"test strings have {BLOCK} bytes at least")
         size = int(length.min())
+        block = min(BLOCK, size)
         start = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
         eight = _eight(flat)
         bits = min(24, max(16, int(len(strings) * size * 16).bit_length()))
-        shift = np.full(1 << bits, size - BLOCK + 1, np.int32)
-        for end in range(BLOCK, size + 1):
-            np.minimum.at(shift, _hash(eight[start + end - BLOCK], bits), np.int32(size - end))
-        last = _hash(eight[start + size - BLOCK], bits)
+        shift = np.full(1 << bits, size - block + 1, np.int32)
+        for end in range(block, size + 1):
+            np.minimum.at(shift, _hash(eight[start + end - block] & _mask(block), bits), np.int32(size - end))
+        last = _hash(eight[start + size - block] & _mask(block), bits)
         bucket = np.argsort(last, kind="stable")
         begin = np.searchsorted(last[bucket], np.arange((1 << bits) + 1))
-        return Table(size, bits, shift, bucket, begin, start, length, eight[start].copy(), flat)
+        masks = np.array([_mask(min(8, n)) for n in length], np.uint64)
+        return Table(size, block, bits, shift, bucket, begin, start, length, eight[start] & masks, masks, flat)
 
     def search(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every occurrence in text (of which the last eight bytes don't count): test string, first byte."""
@@ -108,14 +107,14 @@ class Table:
         limit = np.minimum(ends + STRIPE, stop + 1)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         while len(ends):
-            h = _hash(eight[ends - BLOCK], self.bits)
+            h = _hash(eight[ends - self.block] & _mask(self.block), self.bits)
             move = self.shift[h]
             hit = np.flatnonzero(move == 0)
             if len(hit):
                 first, count = self.begin[h[hit]], self.begin[h[hit] + 1] - self.begin[h[hit]]
                 entry = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 which, at = self.bucket[entry], np.repeat(ends[hit] - self.size, count)
-                same = (self.prefix[which] == eight[at]) & (at + self.length[which] <= stop)
+                same = (self.prefix[which] == eight[at] & self.masks[which]) & (at + self.length[which] <= stop)
                 which, at = which[same], at[same]
                 equal = np.fromiter((np.array_equal(self.flat[self.start[k] : self.start[k] + self.length[k]], text[p : p + self.length[k]]) for k, p in zip(which, at)), bool, len(at))
                 found.append((which[equal], at[equal]))
@@ -127,26 +126,37 @@ class Table:
         return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def _mask(size: int) -> np.uint64:
+    """The first ``size`` of eight bytes."""
+    return np.uint64((1 << (8 * size)) - 1)
+
+
 def _hash(block: np.ndarray, bits: int) -> np.ndarray:
     return ((block ^ (block >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _tables(benchmark: DataFrame, window: int, shortest: int, most: int) -> list[tuple[Table, list[list[int]], list]]:
+def _tables(benchmark: DataFrame, window: int, most: int) -> list[tuple[Table, list[list[int]], list]]:
     """(tables, items of each test string, item ids), in parts of at most ``most`` bytes of test strings."""
     items = benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toArrow()
     ids, out = items.column("item_id").to_pylist(), []
-    by: dict[bytes, list[int]] = {}
-    size = 0
-    for i, strings in enumerate(test_strings(items.column("text").to_pylist(), window, shortest)):
-        if by and size + sum(map(len, strings)) > most:
-            out.append((Table.of(list(by)), list(by.values()), ids))
-            by, size = {}, 0
+    by: list[dict[bytes, list[int]]] = [{}, {}, {}]  # by length
+    size = [0, 0, 0]
+
+    def close(k: int) -> None:
+        out.append((Table.of(list(by[k])), list(by[k].values()), ids))
+        by[k], size[k] = {}, 0
+
+    for i, strings in enumerate(test_strings(items.column("text").to_pylist(), window)):
         for s in strings:
-            if s not in by:
-                size += len(s)
-            by.setdefault(s, []).append(i)
-    if by:
-        out.append((Table.of(list(by)), list(by.values()), ids))
+            k = (len(s) >= 8) + (len(s) >= 16)
+            if by[k] and size[k] + len(s) > most and s not in by[k]:
+                close(k)
+            if s not in by[k]:
+                size[k] += len(s)
+            by[k].setdefault(s, []).append(i)
+    for k in range(3):
+        if by[k]:
+            close(k)
     return out
 
 
@@ -158,11 +168,11 @@ def _hits(texts: pa.Array, table: Table) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(doc_id, item_id, windows): each document and each item of which it contains test strings, and how many."""
     spark, out = docs.sparkSession, None
-    schema = "doc_id bigint, item_id bigint, windows bigint"
-    for part in _tables(benchmark, window, shortest, table_bytes):
+    schema = "doc_id bigint, h bigint, item_id bigint, windows bigint"
+    for number, part in enumerate(_tables(benchmark, window, table_bytes)):
         shared = spark.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -174,19 +184,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
                         for i in items[which]:
                             counts[row, i] = counts.get((row, i), 0) + 1
                     if counts:
-                        doc = piece.column("doc_id").take(pa.array([r for r, _ in counts]))
-                        yield pa.RecordBatch.from_pydict({"doc_id": doc, "item_id": pa.array([ids[i] for _, i in counts], pa.int64()), "windows": pa.array(list(counts.values()), pa.int64())})
+                        doc, h = (piece.column(c).take(pa.array([r for r, _ in counts])) for c in ("doc_id", "h"))
+                        yield pa.RecordBatch.from_pydict({"doc_id": doc, "h": h, "item_id": pa.array([ids[i] for _, i in counts], pa.int64()), "windows": pa.array(list(counts.values()), pa.int64())})
 
-        rows = docs.select("doc_id", "text").mapInArrow(run, schema)
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema).withColumn("part", F.lit(number))
         out = rows if out is None else out.union(rows)
     if out is None:
-        return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"))
+        return spark.createDataFrame([], "doc_id bigint, item_id bigint, windows bigint")
+    one = out.groupBy("doc_id", "item_id", "h", "part").agg(F.max("windows").alias("windows"))  # repeated rows are one document
+    whole = one.groupBy("doc_id", "item_id", "h").agg(F.sum("windows").alias("windows"))
+    return whole.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that contain no test string; the columns are as they were."""
-    for part in _tables(benchmark, window, shortest, table_bytes):
+    for part in _tables(benchmark, window, table_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(part[0])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

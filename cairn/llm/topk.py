@@ -6,38 +6,40 @@ another. Once segments 0..j have been searched up to radius r, and the others up
 m * r + j (m segments) has been met: if it were farther in each segment than searched, its distance would be larger. A query is done as soon as its k-th verified
 distance is no more than that.
 
-Codes are indexed in shards of at most ``SHARD_BYTES``; the shards go to all tasks one after the other, and each query carries its best k along,
-so a later shard is searched only as far as its present k-th distance demands. No candidate is dropped.
+Codes have any number of bits, 64 to a number; a segment lies within one number. Of rows with the same code only the k + 1 with the least ids are indexed: ties
+are settled by the id, so no other can be among the k best of any query. The index is cut into shards of at most ``SHARD_BYTES`` and the queries into blocks as large; each
+shard meets each block in a task, and the best of all shards are merged. No candidate is dropped.
 
 Defined cases. Neighbours are ordered by (distance, id), so ties are settled by the id, and all ties at the k-th place are compared. A row is no
 neighbour of itself; rows with the same code are at distance 0. Rows that repeat an id and its code are one row; an id with several codes has
 one query for each, and the same id is never its own neighbour. A null vector, or null id, is neither query nor neighbour. Elements that are
-null or NaN, or missing at the end, give bit 0, further ones are left out. With fewer than k others all are listed. An empty table gives an empty result. Extra
+null or NaN, or missing at the end, give bit 0; codes are as long as the longest vector. With fewer than k others all are listed. An empty table gives an empty result. Extra
 columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import write_table
 
 K = 10
-BITS = 64
 SHARD_BYTES = 64 << 20
 
 
-def codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
-    """(id, code): the signs of the first ``bits`` elements, 64 bits at most, as a number."""
-    code = F.expr(f"aggregate(sequence(0, {bits - 1}), 0L, (a, i) -> a | case when get(embedding, i) > 0 and not isnan(get(embedding, i)) then shiftleft(1L, i) else 0L end)")
-    return vectors.filter("embedding is not null and vec_id is not null").select(F.col("vec_id").alias("id"), code.alias("code")).distinct()
+def codes(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(id, code) and the number of bits: the signs of all elements, 64 to a number."""
+    some = vectors.filter("embedding is not null and vec_id is not null")
+    bits = some.agg(F.max(F.size("embedding"))).first()[0] or 1
+    bit = "case when get(embedding, w * 64 + i) > 0 and not isnan(get(embedding, w * 64 + i)) then shiftleft(1L, i) else 0L end"
+    code = F.expr(f"transform(sequence(0, {(bits - 1) // 64}), w -> aggregate(sequence(0, 63), 0L, (a, i) -> a | {bit}))")
+    return some.select(F.col("vec_id").alias("id"), code.alias("code")).distinct(), bits
 
 
 @dataclass
@@ -45,32 +47,36 @@ class Index:
     """Tables of one shard: for each segment the codes sorted by its value."""
 
     ids: np.ndarray
-    codes: np.ndarray
-    shifts: list[int]
-    widths: list[int]
+    codes: np.ndarray  #: a row of numbers each
+    words: list[int]  #: of each segment: the number it is in,
+    shifts: list[int]  #: its first bit there,
+    widths: list[int]  #: and how many bits it has
     order: list[np.ndarray]
     begin: list[np.ndarray]
 
     @staticmethod
-    def of(ids: np.ndarray, values: np.ndarray, bits: int = BITS) -> Index:
-        width = min(bits, 20, max(4, int(np.log2(max(len(ids), 2)))))
-        m = -(-bits // width)
-        widths = [bits // m + (i < bits % m) for i in range(m)]
-        shifts = [sum(widths[:i]) for i in range(m)]
-        order, begin = [], []
-        for s, w in zip(shifts, widths):
-            part = (values >> np.uint64(s)) & np.uint64((1 << w) - 1)
+    def of(ids: np.ndarray, values: np.ndarray, bits: int) -> Index:
+        most = min(20, max(4, int(np.log2(max(len(ids), 2)))))
+        words, shifts, widths, order, begin = [], [], [], [], []
+        for word in range(values.shape[1]):
+            here = min(64, bits - 64 * word)
+            m = -(-here // most)
+            for i in range(m):
+                widths.append(here // m + (i < here % m))
+                words.append(word)
+                shifts.append(sum(widths[len(widths) - 1 - i : -1]))
+        for word, s, w in zip(words, shifts, widths):
+            part = (values[:, word] >> np.uint64(s)) & np.uint64((1 << w) - 1)
             order.append(np.argsort(part, kind="stable"))
             begin.append(np.searchsorted(part[order[-1]], np.arange((1 << w) + 1, dtype=np.uint64)))
-        return Index(ids, values, shifts, widths, order, begin)
+        return Index(ids, values, words, shifts, widths, order, begin)
 
-    def search(self, ids: np.ndarray, values: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> list[list[tuple[int, int]]]:
-        """Each query's k best (distance, id) among ``best`` and the shard."""
+    def search(self, ids: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+        """Rows (query, distance, id): each query's k best of the shard."""
         n, m = len(ids), len(self.widths)
-        kth = np.array([b[k - 1][0] if len(b) >= k else 1 << 20 for b in best])
-        have = np.array([(q, d, i) for q, b in enumerate(best) for d, i in b], np.int64).reshape(-1, 3)
+        kth, have = np.full(n, 1 << 20), np.zeros((0, 3), np.int64)
         active = np.arange(n)
-        parts = [((values >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in zip(self.shifts, self.widths)]
+        parts = [((values[:, word] >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64) for word, s, w in zip(self.words, self.shifts, self.widths)]
         for r in range(max(self.widths) + 1):
             for j in range(m):
                 found = [have]
@@ -86,12 +92,12 @@ class Index:
                         q = np.repeat(active, count)
                         at = self.order[j][np.repeat(first - (np.cumsum(count) - count), count) + np.arange(total)]
                         x = values[q] ^ self.codes[at]
-                        d = np.bitwise_count(x).astype(np.int64)
+                        d = np.bitwise_count(x).sum(1, dtype=np.int64)
                         ok = (d <= kth[q]) & (self.ids[at] != ids[q])
                         q, at, x, d = q[ok], at[ok], x[ok], d[ok]
                         for i in range(m):  # met before, in another segment
                             if i != j and len(q):
-                                own = np.bitwise_count((x >> np.uint64(self.shifts[i])) & np.uint64((1 << self.widths[i]) - 1))
+                                own = np.bitwise_count((x[:, self.words[i]] >> np.uint64(self.shifts[i])) & np.uint64((1 << self.widths[i]) - 1))
                                 new = own > r if i < j else own >= r
                                 q, at, x, d = q[new], at[new], x[new], d[new]
                         if len(q):
@@ -109,35 +115,37 @@ class Index:
                 active = active[kth[active] > m * r + j]
             if not len(active):
                 break
-        start = np.searchsorted(have[:, 0], np.arange(n + 1))
-        return [[(int(d), int(i)) for _, d, i in have[a:b]] for a, b in zip(start[:-1], start[1:])]
+        return have
 
 
-def nearest(coded: DataFrame, k: int = K, bits: int = BITS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """coded(id, code) -> (id, rank, neighbour_id, distance): the k nearest others of every row."""
-    spark = coded.sparkSession
+def nearest(coded: DataFrame, bits: int, k: int = K, asked: str = "true", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """coded(id, code) -> (id, rank, neighbour_id, distance): the k nearest others of every row that ``asked`` names."""
+    spark, wide = coded.sparkSession, (bits - 1) // 64 + 1
     coded = write_table(coded, "codes")
-    shards = max(1, -(-coded.count() * 16 // shard_bytes))
-    now = coded.withColumn("best", F.array().cast("array<struct<d:int,i:bigint>>"))
-    schema = "id bigint, code bigint, best array<struct<d:int,i:bigint>>"
-    kind = pa.list_(pa.struct([("d", pa.int32()), ("i", pa.int64())]))
-    tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, -(-coded.count() // 512)))
-    now = now.repartition(tasks, "id")
-    for s in range(shards):
-        mine = coded.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == s).orderBy("id", "code").toArrow()
-        index = spark.sparkContext.broadcast((np.asarray(mine.column("id").combine_chunks()), np.asarray(mine.column("code").combine_chunks()).view(np.uint64)))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            table = None
-            for whole in batches:
-                for a in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(a, 1024)
-                    table = table or Index.of(*index.value, bits)
-                    before = [[(x["d"], x["i"]) for x in b] for b in batch.column("best").to_pylist()]
-                    best = table.search(np.asarray(batch.column("id")), np.asarray(batch.column("code")).view(np.uint64), before, k)
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), pa.array([[{"d": d, "i": i} for d, i in b] for b in best], kind)], ["id", "code", "best"])
-
-        now = now.mapInArrow(run, schema)
-        if s + 1 < shards:
-            now = write_table(now, "best")
-    return now.select("id", F.posexplode("best").alias("rank", "b")).select("id", (F.col("rank") + 1).alias("rank"), F.col("b.i").alias("neighbour_id"), F.col("b.d").alias("distance"))
+    queries = coded.filter(asked)
+    size = lambda rows: max(1, -(-rows * 8 * (wide + 1) // shard_bytes))
+    n_asked = queries.count()
+    shards = size(coded.count())
+    blocks = max(size(n_asked), min(-(-spark.sparkContext.defaultParallelism // shards), -(-n_asked // 256)), 1)
+    spread = F.xxhash64("id", "code")
+    turn = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    index = coded.withColumn("turn", turn).filter(F.col("turn") <= k + 1).select("id", "code", F.pmod(spread, F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
+    queries = queries.select("id", "code", F.pmod(spread, F.lit(blocks)).alias("block"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))
+
+    def values(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        t = t.combine_chunks()
+        return np.asarray(t["id"].combine_chunks()), np.asarray(t["code"].combine_chunks().flatten()).view(np.uint64).reshape(-1, wide)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids, own), out = values(left), []
+        if left.num_rows and right.num_rows:
+            table = Index.of(*values(right), bits)
+            for a in range(0, len(ids), 1024):
+                found = table.search(ids[a : a + 1024], own[a : a + 1024], k)
+                out.append(found + np.array([a, 0, 0]))
+        q, d, i = (np.concatenate([np.zeros((0, 3), np.int64), *out])).T
+        return pa.table({"id": pa.array(ids[q]), "code": left["code"].combine_chunks().take(pa.array(q)), "distance": pa.array(d.astype(np.int32)), "neighbour_id": pa.array(np.ascontiguousarray(i))})
+
+    found = queries.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInArrow(search, "id bigint, code array<bigint>, distance int, neighbour_id bigint")
+    rank = F.row_number().over(Window.partitionBy("id", "code").orderBy("distance", "neighbour_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "neighbour_id", "distance")
