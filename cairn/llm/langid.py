@@ -36,7 +36,6 @@ FAMILIES = {
 }
 BITS = 11  #: of a feature's number, for trigrams and for words
 PER_LANGUAGE = 400  #: the training sample has so many documents a language at most
-LANGUAGES = 64  #: so many languages at most, the most frequent ones
 MIN_COVERAGE = 0.5
 
 
@@ -141,21 +140,24 @@ class Model:
         return out
 
 
-def _one_to_one(x: np.ndarray, labels: np.ndarray, names: list[str]) -> tuple:
+def _one_to_one(sparse: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: list[str]) -> tuple:
     pairs, weights, biases = list(combinations(range(len(names)), 2)), [], []
     for i, j in pairs:
-        use = (labels == names[i]) | (labels == names[j])
-        a, b = linear_svm(x[use], np.where(labels[use] == names[i], 1.0, -1.0))
+        use = np.flatnonzero((labels == names[i]) | (labels == names[j]))
+        x = np.zeros((len(use), 2 << BITS), np.float32)
+        for row, k in enumerate(use):
+            x[row, sparse[k][0]] = sparse[k][1]
+        a, b = linear_svm(x, np.where(labels[use] == names[i], 1.0, -1.0))
         weights.append(a)
         biases.append(b)
-    return tuple(names), pairs, np.array(weights, np.float32).reshape(len(pairs), x.shape[1]), np.array(biases)
+    return tuple(names), pairs, np.array(weights, np.float32).reshape(len(pairs), 2 << BITS), np.array(biases)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Fit on a bounded sample of the rows that have ``lang`` and a text with a word in it: of each of the
-    ``languages`` most frequent languages, the ``per_language`` documents with the lowest hash of their text."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Fit on a bounded sample of the rows that have ``lang`` and a text with a word in it: of every language the ``per_language``
+    documents with the lowest hash of their text. The driver gets their features, sparse, some 2 KiB a document."""
     labelled = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text")).filter("lang is not null and text is not null and lang <> ''")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return Model()
     share = F.lit(0.0)
@@ -174,23 +176,24 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
                 x, codes = _features(w)
                 yield pa.RecordBatch.from_pydict({
                     "lang": part.column("lang").filter(pa.array(some)),
-                    "x": pa.array([r.tobytes() for r in x[some]], pa.binary()),
+                    "at": pa.array([np.flatnonzero(r).astype(np.uint16).tobytes() for r in x[some]], pa.binary()), "x": pa.array([r[r != 0].tobytes() for r in x[some]], pa.binary()),
                     "codes": pa.array([c.tobytes() for c, s in zip(codes, some) if s], pa.binary()),
                 })
 
-    rows = few.mapInArrow(extract, "lang string, x binary, codes binary").toArrow().to_pydict()
+    rows = few.mapInArrow(extract, "lang string, at binary, x binary, codes binary").toArrow().to_pydict()
     if not rows["lang"]:
         return Model()
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows["lang"]), -1)
     lang = np.array(rows["lang"], object)
-    order = np.lexsort((x @ np.arange(x.shape[1], dtype=np.float32), lang.astype(str)))
-    x, lang = x[order], lang[order]
+    order = sorted(range(len(lang)), key=lambda i: (lang[i], rows["at"][i], rows["x"][i]))
+    lang = lang[order]
+    sparse = [(np.frombuffer(rows["at"][i], np.uint16), np.frombuffer(rows["x"][i], np.float32)) for i in order]
     fam = np.array([family_of(v) for v in lang], object)
     known = np.zeros(1 << 21, np.uint8)
     code = np.unique(np.frombuffer(b"".join(rows["codes"]), np.uint32))
     np.bitwise_or.at(known, code >> 3, (1 << (code & np.uint32(7))).astype(np.uint8))
-    names = sorted(set(fam))
-    return Model(_one_to_one(x, fam, names), {f: _one_to_one(x[fam == f], lang[fam == f], sorted(set(lang[fam == f]))) for f in names}, known)
+    names, own = sorted(set(fam)), lambda f: np.flatnonzero(fam == f)
+    within = {f: _one_to_one([sparse[i] for i in own(f)], lang[own(f)], sorted(set(lang[own(f)]))) for f in names}
+    return Model(_one_to_one(sparse, fam, names), within, known)
 
 
 def _apply(docs: DataFrame, model: Model, min_coverage: float, keep: bool) -> DataFrame:

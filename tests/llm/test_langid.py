@@ -30,6 +30,14 @@ def test_sample_is_bounded(spark, documents):
     assert set(model.languages) == {"germanic", "romance"}
 
 
+def test_every_labelled_language_is_in_the_model(spark):
+    """More languages than a fixed number would hold; the rarest too."""
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    texts = [(i, " ".join(alphabet[(i * 7 + j) % 26] * 2 + alphabet[i % 26] + alphabet[i // 26] for j in range(12)), f"x{i}") for i in range(70) for _ in range(1 + i % 2)]
+    model = langid.train(spark.createDataFrame(texts, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 70 and all(len(v[0]) == 1 for v in model.languages.values())
+
+
 def test_edges(spark, edges, documents, nothing):
     model = langid.train(documents)
     got = langid.identify(edges, model).collect()
