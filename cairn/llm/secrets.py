@@ -216,7 +216,7 @@ def findings(n: int = 3000, seed: int = 1) -> list[tuple[str, str, str, str, int
         lambda: (of(hexa, r.choice([32, 40, 64])), r.choice([f"{digest()} ", assign(digest())])),
         lambda: (of(hexa, r.choice([32, 40, 64])), assign(word())),
         lambda: ("-".join(of(hexa, k) for k in (8, 4, 4, 4, 12)), assign(r.choice([digest(), word(), "id"]))),
-        lambda: (of("0123456789", r.choice([13, 16, 16, 16, 19])), r.choice(["", "number ", "card ", assign(word())])),
+        lambda: (of("0123456789", r.choice([13, 14, 15, 16, 19])), r.choice(["", "number ", "card ", assign(word())])),
         lambda: (f"{r.choice(['your', 'my', 'example', 'test', 'sample'])}{r.choice('-_')}{word()}{r.choice('-_')}{word()}{r.choice('-_')}{r.randint(1, 9999)}", assign(secret())),
         lambda: (of("xX*", 1) * r.randint(8, 30) + str(r.randint(0, 9999)), assign(secret())),
         lambda: ("/".join(word() for _ in range(r.randint(2, 5))) + f"/{r.randint(1, 99999)}.html", r.choice(["path ", "href=\"", ""])),
@@ -228,7 +228,7 @@ def findings(n: int = 3000, seed: int = 1) -> list[tuple[str, str, str, str, int
         lambda: (f"{r.randint(1, 40)}@mail{r.randint(0, 9)}.example.com".replace("@", "."), ""),
         lambda: ("".join(r.choice(["th", "er", "on", "an", "re", "ti", "es", "in"]) for _ in range(r.randint(7, 14))) + str(r.randint(1, 9)), ""),
     ]
-    paths = ["", "src3", "app/config.py", "deploy/settings.yaml", "src/main.go", "tests/test_auth.py", "docs/readme.md", "package-lock.json", "src12", "web/site.min.js"]
+    paths = ["", "app/config.py", "deploy/settings.yaml", "src/main.go", "tests/test_auth.py", "docs/readme.md", "package-lock.json", "web/site.min.js", "crawl", "forum"]
     out = []
     for i in range(n):
         text, lead = r.choice(real if i % 2 else false)()
