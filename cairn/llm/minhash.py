@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import column, pieces, repeated, whole_groups, write_table
@@ -164,10 +164,10 @@ def groups(docs: DataFrame, parts: int = PARTS, most: int = MOST, shingle: int =
     sigs = write_table(all_docs.groupBy("node").agg(F.first("sig").alias("sig")), "nodes")
     roots = write_table(components(near_edges(sigs, parts, most)), "roots")
     rows = all_docs.groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("copies")).join(roots, "node", "left")
-    root = rows.withColumn("root", F.coalesce("root", "node"))
-    one = Window.partitionBy("root")
-    named = root.withColumn("keep", F.min(F.struct("doc_id", "text_hash")).over(one)).withColumn("n", F.sum("copies").over(one))
-    return named.filter("n > 1").select("doc_id", "text_hash", "copies", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash"))
+    root = rows.select("doc_id", "text_hash", "copies", F.coalesce("root", "node").alias("root"))
+    # Groups of any size: the one that stays by partial sums, then a join, which splits a large group.
+    kept = root.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.sum("copies").alias("n")).filter("n > 1")
+    return root.join(kept, "root").select("doc_id", "text_hash", "copies", F.col("keep.doc_id").alias("keep_id"), F.col("keep.text_hash").alias("keep_hash"))
 
 
 def near_duplicates(docs: DataFrame, parts: int = PARTS, most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
@@ -177,10 +177,14 @@ def near_duplicates(docs: DataFrame, parts: int = PARTS, most: int = MOST, shing
 
 
 def keep_one(docs: DataFrame, parts: int = PARTS, most: int = MOST, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group; the columns are as they were."""
-    away = groups(docs, parts, most, shingle).select(
-        F.col("doc_id").alias("_go_id"), F.col("text_hash").alias("_go_hash"), (F.expr("doc_id <> keep_id or text_hash <> keep_hash")).alias("_go"))
+    """``docs`` with one row of each group; the columns are as they were. Of rows that repeat the one that stays any one is taken."""
+    marks = write_table(groups(docs, parts, most, shingle).select(
+        F.col("doc_id").alias("_go_id"), F.col("text_hash").alias("_go_hash"), F.expr("doc_id <> keep_id or text_hash <> keep_hash").alias("_go"), "copies").filter("_go or copies > 1"), "marks")
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    marked = packed.join(away, (F.col("_id") == F.col("_go_id")) & (F.col("_hash") == F.col("_go_hash")), "left")
-    turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
-    return marked.filter("_go is null or not _go").withColumn("_n", turn).filter("_go is null or _n = 1").select("_row.*")
+    same = (F.col("_id") == F.col("_go_id")) & (F.col("_hash") == F.col("_go_hash"))
+    single = packed.join(marks.select("_go_id", "_go_hash"), same, "left_anti").select("_row.*")
+    # With partial sums, so a row that repeats a billion times is no burden.
+    one = packed.join(marks.filter("not _go").select("_go_id", "_go_hash"), same).groupBy("_id", "_hash").agg(F.any_value("_row").alias("_row"))
+    return single.unionByName(one.select("_row.*"))
+
+
