@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import column, pieces, repeated, whole_groups, write_table
@@ -189,8 +189,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc[away]), "line_no": pa.array(no[away]), "h": pa.array(h[away]), "e_doc_id": pa.array(doc[stay]), "e_line_no": pa.array(no[stay]), "e_h": pa.array(h[stay])})
 
     raw = docs.mapInArrow(split, "h bigint, h2 bigint, doc_id bigint, line_no int, " + ", ".join(f"k{i} bigint" for i in range(4)))
-    first = F.min(F.struct("doc_id", "line_no")).over(Window.partitionBy("h", "h2"))
-    lines = write_table(raw.withColumn("f", first).select("*", F.col("f.doc_id").alias("f_doc_id"), F.col("f.line_no").alias("f_line_no")).drop("f", "h2"), "lines")
+    raw = write_table(raw, "raw")
+    # The first of equal lines by partial sums, and a join that splits a frequent line; a window would sort all of these in one task.
+    first = raw.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("f")).select("h", "h2", F.col("f.doc_id").alias("f_doc_id"), F.col("f.line_no").alias("f_line_no"))
+    lines = write_table(raw.join(first, ["h", "h2"]).drop("h2"), "lines")
     own = "doc_id = f_doc_id and line_no = f_line_no"
     keyed = lines.filter(own).select("doc_id", "line_no", "k0", "k1", "k2", "k3").mapInArrow(halves, "key bigint, doc_id bigint, line_no int, bit int")
     met = keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(lambda b: repeated(b, "key", ["doc_id", "line_no", "bit"]), "doc_id bigint, line_no int, bit int")
@@ -200,13 +202,28 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     wanted = docs.join(wanted, "doc_id").withColumn("lines", F.when(enough, F.col("lines")).otherwise(F.filter("lines", lambda x: x["line_no"] < F.size(F.split("text", "\n")))))
     candidates = write_table(wanted.mapInArrow(pick, "doc_id bigint, line_no int, h bigint, mask int, line string").filter("line <> ''"), "candidates")
     pairs = candidates.mapInArrow(neighbours, "key bigint, kind tinyint, doc_id bigint, line_no int, h bigint").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(earlier, "doc_id bigint, line_no int, h bigint, e_doc_id bigint, e_line_no int, e_h bigint")
-    best = pairs.groupBy("doc_id", "line_no", "h").agg(F.min(F.struct("e_doc_id", "e_line_no", "e_h")).alias("e")).select("doc_id", "line_no", "h", "e.*")
+    pairs = pairs.distinct()
     text = candidates.select("doc_id", "line_no", "h", "line").distinct()
     there = text.select(F.col("doc_id").alias("e_doc_id"), F.col("line_no").alias("e_line_no"), F.col("h").alias("e_h"), F.col("line").alias("e_line"))
-    near = best.join(text, ["doc_id", "line_no", "h"]).join(there, ["e_doc_id", "e_line_no", "e_h"]).filter(F.levenshtein("line", "e_line", 1) == 1)
-    near = near.select(F.col("doc_id").alias("f_doc_id"), F.col("line_no").alias("f_line_no"), "h", "e_doc_id", "e_line_no")
+    near = pairs.join(text, ["doc_id", "line_no", "h"]).join(there, ["e_doc_id", "e_line_no", "e_h"]).filter(F.levenshtein("line", "e_line", 1) == 1)
+    near = near.groupBy("doc_id", "line_no", "h").agg(F.min(F.struct("e_doc_id", "e_line_no")).alias("e"))  # of those that are verified
+    near = near.select(F.col("doc_id").alias("f_doc_id"), F.col("line_no").alias("f_line_no"), "h", "e.*")
     rest = lines.select("doc_id", "line_no", "h", "f_doc_id", "f_line_no").join(near, ["f_doc_id", "f_line_no", "h"], "left").filter(f"e_doc_id is not null or not ({own})")
     return rest.select(
         "doc_id", "line_no", F.coalesce("e_doc_id", "f_doc_id").alias("keep_doc_id"), F.coalesce("e_line_no", "f_line_no").alias("keep_line_no"),
         F.when(F.col("e_doc_id").isNull(), 0).otherwise(1).alias("distance"),
     ).distinct()
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines that go, their line ends included; the other columns are as they were. Repeated rows all lose what their document
+    loses. A doc_id must name one text, or the lines couldn't be told apart."""
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_lines")).select(F.col("doc_id").alias("_doc"), "_lines")
+    shared = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").distinct().groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_many"))
+    if not shared.isEmpty():
+        raise ValueError("lines can be taken out only where a doc_id names one text")
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    joined = packed.join(gone, F.col("_id") == F.col("_doc"), "left")
+    kept = F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_lines", i)), "\n")
+    text = F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from cairn.llm import linededup
 
 
@@ -72,3 +74,12 @@ def test_keys_of_alike_lines_meet():
         line = linededup.variants(p, p.offsets[:-1], p.offsets[1:], np.array([15, 15]))[0]
         away, _ = linededup.earliest(key, kind, line)
         assert bool(len(away)) == (distance(a, b) <= 1), (a, b)
+
+
+def test_lines_that_go_are_taken_out(spark):
+    docs = [(1, "alpha line one\nbeta\n\nalpha line one", "x"), (2, "alpha line onE\nnew here\n\n", "y"), (3, None, "z"), (None, "beta", "w"), (4, "beta", None)]
+    got = linededup.without_repeats(spark.createDataFrame(docs, "doc_id bigint, text string, _lines string"))
+    assert got.columns == ["doc_id", "text", "_lines"]
+    assert {(r.doc_id, r.text) for r in got.collect()} == {(1, "alpha line one\nbeta\n"), (2, "new here\n\n"), (3, None), (None, "beta"), (4, "")}
+    with pytest.raises(ValueError):
+        linededup.without_repeats(spark.createDataFrame([(1, "a"), (1, "b")], "doc_id bigint, text string"))
