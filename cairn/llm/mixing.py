@@ -8,8 +8,10 @@ each round through the source. So within a round no block is used twice, and in
 Slots and blocks are joined by (source, index).
 
 To pack without a global order, the documents of a source are spread by a hash of (doc_id, text) over stripes of about
-``STRIPE_TOKENS`` tokens, packed within a stripe in the order (doc_id, text), and the stripes' blocks are numbered one stripe after another. Only
-the counts of tokens by stripe are summed up before; the texts are shuffled once, to where their stripe's slots are.
+``STRIPE_TOKENS`` tokens, packed within a stripe in the order (doc_id, text), and the stripes' blocks are numbered one stripe after another. The stripes' counts and
+first numbers are a table, by two levels of prefix sums; a slot finds its stripe by a join on cells of the index, and the texts are
+shuffled once, to where their stripe's slots are. Where a source is gone through many times, every ``ROUNDS`` rounds are a group of their own, so
+the slots of a group are bounded. The driver has a few numbers of each source.
 
 Without given weights, the target weight of a source is proportional to its tokens to the power ``TEMPERATURE``. There are as
 many slots as blocks unless ``slots`` says otherwise.
@@ -31,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.common import write_table
 from cairn.llm.textkernel import mix
 
 BLOCK = 512
 SHARD = 256
 STRIPE_TOKENS = 1 << 18
 TEMPERATURE = 0.5
-FINE_BITS = 12
+ROUNDS = 4
 GROUP = 1024  #: shards whose counts are added up at once
 SCHEMA = "shard bigint, slot int, source string, round bigint, block bigint, n_tokens int, doc_ids array<bigint>, lang string, text string"
 _TOKENS = r"\s+"
@@ -81,36 +84,29 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     tokens = F.size(F.filter(F.split(F.col("text"), _TOKENS), lambda t: t != ""))
     docs = docs.select(*cols).filter("text is not null")
     spread = F.xxhash64("doc_id", "text")
-    # Fine stripes of which the needed number is a divisor: one pass serves for the totals and the stripes, unless
-    # a source needs more stripes than that.
-    bits = FINE_BITS
-    while True:
-        fine = docs.select("source", F.pmod(spread, F.lit(1 << bits)).alias("fine"), tokens.alias("n")).groupBy("source", "fine").agg(F.sum("n").alias("n")).filter("n > 0")
-        counted: dict[str | None, list[tuple[int, int]]] = {}
-        for name, at, n in zip(*fine.toArrow().to_pydict().values()):
-            counted.setdefault(name, []).append((at, n))
-        most = max((sum(n for _, n in v) for v in counted.values()), default=0)
-        if (need := max(0, (most - 1) // stripe_tokens).bit_length()) <= bits:
-            break
-        bits = need
-    if not counted:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = (size // stripe_tokens + 1).bit_length()  # a token has a byte at least, so no source needs more fine stripes
+    fine = docs.select("source", F.pmod(spread, F.lit(1 << bits)).alias("fine"), tokens.alias("n")).groupBy("source", "fine").agg(F.sum("n").alias("n")).filter("n > 0")
+    fine = write_table(fine, "stripes")
+    totals = sorted(((r["source"], r["n"]) for r in fine.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda r: (r[0] is not None, r[0] or ""))
+    if not totals:
         return spark.createDataFrame([], SCHEMA)
-    sources: list[tuple[str | None, int, int, np.ndarray, int]] = []  # source, stripes, blocks, base of each stripe, tokens
-    for name in sorted(counted, key=lambda s: (s is not None, s or "")):
-        part = np.array(counted[name], np.int64)
-        total = int(part[:, 1].sum())
-        stripes = 1 << max(0, (total - 1) // stripe_tokens).bit_length()
-        by = np.zeros(stripes, np.int64)
-        np.add.at(by, part[:, 0] % stripes, part[:, 1])
-        blocks = -(-by // block)
-        sources.append((name, stripes, int(blocks.sum()), np.cumsum(blocks) - blocks, total))
-    target = np.array([float((weights or {}).get(s[0], 0.0)) if weights is not None else float(s[4]) ** TEMPERATURE for s in sources])
+    target = np.array([float((weights or {}).get(s, 0.0)) if weights is not None else float(n) ** TEMPERATURE for s, n in totals])
     if not (target > 0).any():
         return spark.createDataFrame([], SCHEMA)
     target /= target.sum()
-    slots = sum(s[2] for s in sources) if slots is None else slots
+    names = [s for s, _ in totals]
+    stripes = [1 << max(0, (n - 1) // stripe_tokens).bit_length() for _, n in totals]
+    known = F.broadcast(spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(zip(names, stripes))], "k int, _source string, stripes bigint"))
+    of_source = F.col("source").eqNullSafe(F.col("_source"))
+    mine = fine.join(known, of_source).groupBy("k", F.pmod("fine", "stripes").alias("stripe")).agg(F.expr(f"(sum(n) + {block - 1}) div {block}").alias("blocks")).withColumn("part", F.floor(F.col("stripe") / GROUP))
+    upper = mine.groupBy("k", "part").agg(F.sum("blocks").alias("b"))
+    upper = upper.select("k", "part", (F.sum("b").over(Window.partitionBy("k").orderBy("part")) - F.col("b")).alias("before"))
+    inner = F.sum("blocks").over(Window.partitionBy("k", "part").orderBy("stripe")) - F.col("blocks")
+    bases = write_table(mine.withColumn("inner", inner).join(upper, ["k", "part"]).select("k", "stripe", "blocks", (F.col("before") + F.col("inner")).alias("base")), "bases")
+    n_blocks = [n for _, n in sorted((r["k"], r["n"]) for r in bases.groupBy("k").agg(F.sum("blocks").alias("n")).collect())]
+    slots = sum(n_blocks) if slots is None else slots
     shards = -(-slots // shard)
-    names = [s[0] for s in sources]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,17 +120,15 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
             sh, k, n, before, inside = (np.asarray(b.column(c)) for c in ("shard", "k", "n", "before", "inside"))
             row = np.repeat(np.arange(len(n)), n)
             turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            out_stripe, out_local, out_round = (np.zeros(len(row), np.int64) for _ in range(3))
+            out_index, out_round = (np.zeros(len(row), np.int64) for _ in range(2))
             for i in np.unique(k):
                 mine = np.flatnonzero(k[row] == i)
-                _, _, blocks, base, _ = sources[i]
-                out_round[mine], index = np.divmod(before[row[mine]] + turn[mine], blocks)
+                out_round[mine], index = np.divmod(before[row[mine]] + turn[mine], n_blocks[i])
                 for r in np.unique(out_round[mine]):
                     now = out_round[mine] == r
-                    index[now] = permute(index[now], blocks, _of(names[i]) ^ (seed * 1000003 + int(r)))
-                out_stripe[mine] = np.searchsorted(base, index, "right") - 1
-                out_local[mine] = index - base[out_stripe[mine]]
-            yield pa.RecordBatch.from_pydict({"k": pa.array(k[row]), "stripe": pa.array(out_stripe), "local": pa.array(out_local), "shard": pa.array(sh[row]), "slot": pa.array((inside[row] + turn).astype(np.int32)), "round": pa.array(out_round)})
+                    index[now] = permute(index[now], n_blocks[i], _of(names[i]) ^ (seed * 1000003 + int(r)))
+                out_index[mine] = index
+            yield pa.RecordBatch.from_pydict({"k": pa.array(k[row]), "index": pa.array(out_index), "shard": pa.array(sh[row]), "slot": pa.array((inside[row] + turn).astype(np.int32)), "round": pa.array(out_round)})
 
     tasks = int(min(max(1, shards // 64), 20_000))
     drawn = spark.range(0, shards, 1, tasks).mapInArrow(count, "shard bigint, k int, n bigint").withColumn("part", F.floor(F.col("shard") / GROUP))
@@ -143,17 +137,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     within = F.sum("n").over(Window.partitionBy("part", "k").orderBy("shard")) - F.col("n")
     inside = F.sum("n").over(Window.partitionBy("shard").orderBy("k")) - F.col("n")
     ranked = drawn.withColumn("within", within).join(parts, ["part", "k"]).withColumn("inside", inside).withColumn("before", F.col("within") + F.col("start")).filter("n > 0")
-    wanted = ranked.select("shard", "k", "n", "before", "inside").mapInArrow(fill, "k int, stripe bigint, local bigint, shard bigint, slot int, round bigint")
-
-    number, mask = F.lit(None).cast("int"), F.lit(0)
-    for i, s in enumerate(sources):
-        number = F.when(F.col("source").eqNullSafe(F.lit(s[0])), F.lit(i)).otherwise(number)
-        mask = F.when(F.col("source").eqNullSafe(F.lit(s[0])), F.lit(s[1] - 1)).otherwise(mask)
-    placed = docs.withColumn("k", number).withColumn("stripe", spread.bitwiseAND(mask.cast("bigint"))).select("k", "stripe", "doc_id", "text", "lang")
+    wanted = ranked.select("shard", "k", "n", "before", "inside").mapInArrow(fill, "k int, index bigint, shard bigint, slot int, round bigint")
+    cell = max(1, stripe_tokens // block)
+    cells = bases.select("k", "stripe", "base", "blocks", F.explode(F.expr(f"sequence(base div {cell}, (base + blocks - 1) div {cell})")).alias("cell"))
+    wanted = wanted.withColumn("cell", F.expr(f"index div {cell}")).join(cells, ["k", "cell"]).filter("index >= base and index < base + blocks")
+    wanted = wanted.select("k", "stripe", F.floor(F.col("round") / ROUNDS).alias("turn"), "index", "base", "shard", "slot", "round")
+    # How many turns a source has at most: its slots are no more than all.
+    turns = drawn.groupBy("k").agg(F.sum("n").alias("n")).collect()
+    turns = spark.createDataFrame([(r["k"], names[r["k"]], stripes[r["k"]], -(-r["n"] // (n_blocks[r["k"]] * ROUNDS))) for r in turns if r["n"]], "k int, _source string, stripes bigint, turns bigint")
+    placed = docs.join(F.broadcast(turns), of_source).select("k", F.pmod(spread, "stripes").alias("stripe"), F.explode(F.expr("sequence(0L, turns - 1)")).alias("turn"), "doc_id", "text", "lang")
 
     def pack(key: tuple, texts: pa.Table, asked: pa.Table) -> pa.Table:
-        k, stripe = key[0].as_py(), key[1].as_py()
-        if k is None or not asked.num_rows or not texts.num_rows:
+        k = key[0].as_py()
+        if not asked.num_rows or not texts.num_rows:
             return _out([], [], [], [], [], [], [], [], [])
         texts = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if texts.column("doc_id").null_count == 0 else _nulls_first(texts)
         ids, langs = texts.column("doc_id").to_pylist(), texts.column("lang").to_pylist()
@@ -162,21 +158,20 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         for i, t in enumerate(texts.column("text")):
             words.extend(_split(t.as_py()))
             ends[i] = len(words)
-        local, sh, slot, rnd = (np.asarray(asked.column(c)) for c in ("local", "shard", "slot", "round"))
+        index, base, sh, slot, rnd = (np.asarray(asked.column(c)) for c in ("index", "base", "shard", "slot", "round"))
         made: dict[int, tuple] = {}
         rows = []
-        base = sources[k][3][stripe]
-        for j in range(len(local)):
-            at = int(local[j])
+        for j in range(len(index)):
+            at = int(index[j] - base[j])
             if at not in made:
                 a, b = at * block, min((at + 1) * block, len(words))
                 first, last = np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "left")
                 some = [ids[x] for x in range(first, last + 1) if ids[x] is not None and ends[x] > (ends[x - 1] if x else 0)]
                 made[at] = (b - a, some, langs[first], " ".join(words[a:b]))
-            rows.append((int(sh[j]), int(slot[j]), names[k], int(rnd[j]), int(base + at), *made[at]))
+            rows.append((int(sh[j]), int(slot[j]), names[k], int(rnd[j]), int(index[j]), *made[at]))
         return _out(*zip(*rows))
 
-    return placed.groupBy("k", "stripe").cogroup(wanted.groupBy("k", "stripe")).applyInArrow(pack, SCHEMA)
+    return placed.groupBy("k", "stripe", "turn").cogroup(wanted.groupBy("k", "stripe", "turn")).applyInArrow(pack, SCHEMA)
 
 
 def _split(text: str) -> list[str]:

@@ -67,3 +67,11 @@ def test_edges(spark, edges, nothing):
     assert mixing.mix_sources(edges, {"zzz": 1.0}).count() == 0
     docs = mixing.as_documents(mixing.mix_sources(edges))
     assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.select("doc_id").distinct().count() == docs.count()
+
+
+def test_a_small_source_that_is_gone_through_many_times(spark):
+    docs = [(i, " ".join(f"w{i}_{j}" for j in range(9)), "few") for i in range(3)] + [(10 + i, "a b c d " * 20, "many") for i in range(9)]
+    df = spark.createDataFrame([(d, t, "en", s) for d, t, s in docs], "doc_id bigint, text string, lang string, source string")
+    rows = mixing.mix_sources(df, {"few": 5.0, "many": 1.0}, slots=200, block=8, shard=16, seed=9).collect()
+    got = {(r.shard, r.slot): (r.source, r.round, r.block, r.text) for r in rows}
+    assert got == brute(docs, {"few": 5.0, "many": 1.0}, 200, 8, 16, 9, {}, lambda *x: 0) and max(r["round"] for r in rows) > 3 * mixing.ROUNDS
