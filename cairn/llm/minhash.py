@@ -181,10 +181,12 @@ def keep_one(docs: DataFrame, parts: int = PARTS, most: int = MOST, shingle: int
     marks = write_table(groups(docs, parts, most, shingle).select(
         F.col("doc_id").alias("_go_id"), F.col("text_hash").alias("_go_hash"), F.expr("doc_id <> keep_id or text_hash <> keep_hash").alias("_go"), "copies").filter("_go or copies > 1"), "marks")
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    same = (F.col("_id") == F.col("_go_id")) & (F.col("_hash") == F.col("_go_hash"))
-    single = packed.join(marks.select("_go_id", "_go_hash"), same, "left_anti").select("_row.*")
+    # Null-safe, so that both uses have one plan of the texts' side and share its shuffle; as a merge at any size, as marks grow with the rows.
+    same = F.col("_id").eqNullSafe(F.col("_go_id")) & F.col("_hash").eqNullSafe(F.col("_go_hash"))
+    marked = packed.join(marks.select("_go_id", "_go_hash", "_go").hint("merge"), same, "left")
+    single = marked.filter("_go is null").select("_row.*")
     # With partial sums, so a row that repeats a billion times is no burden.
-    one = packed.join(marks.filter("not _go").select("_go_id", "_go_hash"), same).groupBy("_id", "_hash").agg(F.any_value("_row").alias("_row"))
+    one = marked.filter("not _go").groupBy("_id", "_hash").agg(F.any_value("_row").alias("_row"))
     return single.unionByName(one.select("_row.*"))
 
 
