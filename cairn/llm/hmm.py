@@ -8,7 +8,8 @@ holds a whole table. The chunks are bucketed, so no pass moves them.
 
 Baum-Welch trains incrementally: the chunks form ``BATCHES`` batches; after each one its expected counts replace those it gave in the sweep before (a share
 of the first emissions, at first), and new parameters follow from the counts of all batches. Every sweep reads the whole corpus, and whole sequences:
-documents over ``PIECE`` words are cut into pieces whose transfer matrices give the exact forward and backward vectors at each cut. Sweeps go on until the
+documents over ``PIECE`` words are cut into pieces, and vectors of the outer and transfer matrices of the inner ones give the exact forward and backward
+vectors at each cut. Sweeps go on until the
 relative gain of the log-likelihood is at most ``TOLERANCE``; while the model is no better than the words' plain frequencies it may be on the plateau before
 the states part, so it stops only at ``PLATEAU`` times that gain. A score is the exact log-likelihood of a document's whole sequence, by the scaled forward recursion.
 
@@ -106,25 +107,53 @@ def _in_step(first: np.ndarray, size: np.ndarray) -> tuple[list[int], list[int],
     return active.tolist(), before.tolist(), first[np.arange(before[-1]) - before[:-1][t]] + t
 
 
-def transfers(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, opens: np.ndarray) -> np.ndarray:
-    """For each piece a matrix: from the state before it (of the start, where it opens a document) to the state at its end, with the
-    probability of its words, scaled to a largest entry of 1."""
-    k, n, out = len(m.start), len(first), np.empty((len(first), len(m.start), len(m.start)))
-    order = np.argsort(-size, kind="stable")
-    active, before, places = _in_step(first[order], size[order])
-    a = np.where(opens[order], m.start[:, None, None], m.move.T[:, :, None]).astype(np.float32)  # state, state before, piece
-    step, emit = m.move.T.astype(np.float32), np.take(m.emit, flat[places], 1)
-    final = set(np.flatnonzero(np.diff(active, append=0)).tolist())
-    for t, (c, x) in enumerate(zip(active, before)):
+def _emissions(m: Model) -> np.ndarray:
+    """A row of each symbol: what one word needs lies together."""
+    return np.ascontiguousarray(m.emit.T)
+
+
+def transfers(m: Model, flat: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """For each piece of so many words a matrix: from the state before it to the state at its end, with the probability of its words, scaled to a
+    largest entry of 1."""
+    k, n = len(m.start), len(first)
+    step, emit = m.move.T.astype(np.float32), np.take(_emissions(m), flat[first + np.arange(size)[:, None]], 0)
+    a = np.repeat(step[:, :, None], n, 2)  # state, state before, piece
+    for t in range(size):
         if t:
-            a = (step @ a.reshape(k, -1)).reshape(k, k, c)
-        a *= emit[:, None, x : x + c]
-        if not t % RESCALE or t in final:
+            a = (step @ a.reshape(k, -1)).reshape(k, k, n)
+        a *= np.ascontiguousarray(emit[t].T)[:, None]
+        if not t % RESCALE or t == size - 1:
             a /= a.max((0, 1))
-        if t in final:
-            go = active[t + 1] if t + 1 < len(active) else 0
-            out[order[go:c]] = a[:, :, go:].transpose(2, 1, 0)
-            a = np.ascontiguousarray(a[:, :, :go])
+    return a.transpose(2, 1, 0).astype(float)
+
+
+def openings(m: Model, flat: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """For each piece of so many words that opens a document the distribution of the state at its end, a column each."""
+    step, emit = m.move.astype(np.float32), np.take(_emissions(m), flat[first + np.arange(size)[:, None]], 0)
+    a, ones = np.repeat(m.start[None].astype(np.float32), len(first), 0), np.ones(len(m.start), np.float32)
+    for t in range(size):
+        if t:
+            a = a @ step
+        a *= emit[t]
+        if not t % RESCALE:
+            a /= (a @ ones)[:, None]
+    return a.T.astype(float)
+
+
+def closings(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each piece that ends a document the likelihood of its words by the state before it, a column each."""
+    order = np.argsort(-size, kind="stable")
+    active, before, places = _in_step(np.zeros_like(order), size[order])
+    rank = np.arange(len(places)) - np.repeat(before[:-1], active)
+    back, emit = np.ascontiguousarray(m.move.T, np.float32), np.take(_emissions(m), flat[(first + size - 1)[order][rank] - places], 0)  # from the last word on
+    b, out = np.ones((len(order), len(m.start)), np.float32), np.empty((len(m.start), len(order)))
+    for t, (c, x) in enumerate(zip(active, before)):
+        b = (b[:c] * emit[x : x + c]) @ back
+        if not t % RESCALE:
+            b /= b.max(1, keepdims=True)
+        go = active[t + 1] if t + 1 < len(active) else 0
+        if go < c:
+            out[:, order[go:c]] = b[go:].T
     return out
 
 
@@ -140,8 +169,8 @@ class Pieces:
     leave: np.ndarray  #: likelihood of what follows, by the state at the end
 
 
-def cut(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> Pieces:
-    """The sequences flat[first:first + size] as pieces."""
+def cut(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, leaves: bool = True) -> Pieces:
+    """The sequences flat[first:first + size] as pieces; without ``leaves`` what follows isn't looked at. Only pieces between two others need matrices."""
     k, longest = len(m.start), PIECE
     n = -(-size // longest)
     row = np.repeat(np.arange(len(size)), n)
@@ -149,48 +178,67 @@ def cut(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> Piec
     start = first[row] + turn * longest
     length = np.minimum(longest, first[row] + size[row] - start)
     entry, leave = np.full((k, len(row)), 1 / k), np.ones((k, len(row)))
-    some = np.flatnonzero(n[row] > 1)
-    if len(some):
-        t = transfers(m, flat, start[some], length[some], turn[some] == 0)
-        for i in range(len(some)):  # few: one for each PIECE words
-            if turn[some[i]]:
-                v = t[i - 1][0] if turn[some[i]] == 1 else entry[:, some[i - 1]] @ t[i - 1]
-                entry[:, some[i]] = v / v.sum()
-        for i in range(len(some) - 1, 0, -1):
-            if turn[some[i]]:
-                v = t[i] @ leave[:, some[i]]
-                leave[:, some[i - 1]] = v / v.max()
+    opens, closes = turn == 0, turn == n[row] - 1
+    heads, tails, inner = np.flatnonzero(opens & ~closes), np.flatnonzero(closes & ~opens), np.flatnonzero(~opens & ~closes)
+    if len(heads):
+        v = openings(m, flat, start[heads], longest)
+        entry[:, heads + 1] = v / v.sum(0)
+        between = transfers(m, flat, start[inner], longest) if len(inner) else []
+        for i, t in zip(inner, between):  # few: one for each PIECE words
+            v = entry[:, i] @ t
+            entry[:, i + 1] = v / v.sum()
+        if leaves:
+            v = closings(m, flat, start[tails], length[tails])
+            leave[:, tails - 1] = v / v.max(0)
+            for i, t in zip(inner[::-1], between[::-1]):
+                v = t @ leave[:, i]
+                leave[:, i - 1] = v / v.max()
     order = np.argsort(-length, kind="stable")
-    return Pieces(start[order], length[order], row[order], turn[order] == 0, entry[:, order], leave[:, order])
+    return Pieces(start[order], length[order], row[order], opens[order], entry[:, order], leave[:, order])
+
+
+@dataclass
+class Run:
+    """A forward recursion over pieces."""
 
+    active: list[int]  #: layout, as of ``_in_step``
+    before: list[int]
+    symbols: np.ndarray  #: in this layout
+    table: np.ndarray  #: of ``_emissions``
+    alpha: np.ndarray  #: scaled forward vectors in this layout, a row each, if they are kept
+    scales: list[tuple[int, np.ndarray] | None]  #: by step: the first of the pieces that were scaled, and by what
+    like: np.ndarray  #: by piece: sum of its scales' logarithms
 
-def _forward(m: Model, flat: np.ndarray, p: Pieces) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Layout, symbols in it, their emissions, scaled forward vectors (a column each) and scales."""
+
+def _forward(m: Model, flat: np.ndarray, p: Pieces, keep: bool) -> Run:
+    """Every RESCALE steps all pieces are scaled to sums of 1, and each at its end; with ``keep`` all vectors are kept."""
     active, before, places = _in_step(p.first, p.size)
-    symbols = flat[places]
-    emit = np.take(m.emit, symbols, 1)
-    alpha, scale = np.empty_like(emit), np.empty(emit.shape[1], np.float32)
-    step, ones = np.ascontiguousarray(m.move.T).astype(np.float32), np.ones(len(m.start), np.float32)
-    a = np.where(p.opens[None, :], m.start[:, None], m.move.T @ p.entry).astype(np.float32)
-    scale.fill(1)
-    final = set(np.flatnonzero(np.diff(active, append=0)).tolist())
+    symbols, table = flat[places].astype(np.intp), _emissions(m)
+    a = np.where(p.opens[:, None], m.start, p.entry.T @ m.move).astype(np.float32)
+    step, ones, here, alpha = m.move.astype(np.float32), np.ones(len(m.start), np.float32), np.empty_like(a), a
+    if keep:
+        alpha = np.empty((before[-1], len(m.start)), np.float32)
+        alpha[: len(a)] = a
+    scales, like = [], np.zeros(len(p.first))
     for t, (c, x) in enumerate(zip(active, before)):
-        if t:
-            a = step @ a[:, :c]
-        a *= emit[:, x : x + c]
-        if not t % RESCALE or t in final:
-            s = scale[x : x + c] = ones @ a
-            a /= s
-        alpha[:, x : x + c] = a
-    return active, before, symbols, emit, alpha, scale
+        if keep:
+            a = np.matmul(a[:c], step, out=alpha[x : x + c]) if t else alpha[:c]
+        elif t:
+            a = a[:c] @ step
+        a *= np.take(table, symbols[x : x + c], 0, here[:c], "clip")
+        go = active[t + 1] if t % RESCALE and t + 1 < len(active) else 0
+        if go < c:
+            s = a[go:] @ ones
+            a[go:] /= s[:, None]
+            like[go:c] += np.log(s, dtype=np.float64)
+        scales.append((go, s) if go < c else None)
+    return Run(active, before, symbols, table, alpha, scales, like)
 
 
 def forward(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """For sequences of one symbol at least: how much their log-likelihoods exceed those by the symbols' frequencies."""
-    p = cut(m, flat, first, size)
-    active, before, _, _, _, scale = _forward(m, flat, p)
-    rank = np.arange(before[-1]) - np.repeat(before[:-1], active)
-    return np.bincount(p.row[rank], np.log(scale, dtype=np.float64), len(size))
+    p = cut(m, flat, first, size, leaves=False)
+    return np.bincount(p.row, _forward(m, flat, p, False).like, len(size))
 
 
 def expected(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, times: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -198,32 +246,33 @@ def expected(m: Model, flat: np.ndarray, first: np.ndarray, size: np.ndarray, ti
     and moves, and what the log-likelihood is above that by the symbols' frequencies."""
     p = cut(m, flat, first, size)
     weight = times[p.row].astype(np.float32)
-    active, before, symbols, emit, alpha, scale = _forward(m, flat, p)
-    rank = np.arange(before[-1]) - np.repeat(before[:-1], active)
-    like = float((np.log(scale, dtype=np.float64) * weight[rank]).sum())
-    emit /= scale
+    run = _forward(m, flat, p, True)
+    active, before, symbols, alpha = run.active, run.before, run.symbols, run.alpha
     last = np.array(before[:-1])[p.size - 1] + np.arange(len(p.size))
-    leave = p.leave / (alpha[:, last] * p.leave).sum(0)
+    leave = p.leave.T / (alpha[last] * p.leave.T).sum(1, keepdims=True)
     if (weight != 1).any():
-        alpha *= weight[rank]
-    leave, move = leave.astype(np.float32), m.move.astype(np.float32)
-    moves, b = np.zeros((len(m.start), len(m.start))), leave[:, : active[-1]]
-    for t in range(len(active) - 1, 0, -1):
-        c, x, y = active[t], before[t], before[t - 1]
-        ahead = emit[:, x : x + c]
+        alpha *= weight[np.arange(before[-1]) - np.repeat(before[:-1], active)][:, None]
+    leave, back, here = leave.astype(np.float32), np.ascontiguousarray(m.move.T, np.float32), np.empty((len(weight), len(m.start)), np.float32)
+    moves, b = np.zeros((len(m.start), len(m.start))), leave[: active[-1]]
+    for t in range(len(active) - 1, -1, -1):
+        c, x = active[t], before[t]
+        ahead = np.take(run.table, symbols[x : x + c], 0, here[:c], "clip")
         ahead *= b
-        alpha[:, x : x + c] *= b
-        moves += alpha[:, y : y + c] @ ahead.T
-        b = move @ ahead
-        if (more := active[t - 1]) > c:
-            b = np.concatenate([b, leave[:, c:more]], 1)
-    c = active[0]
+        alpha[x : x + c] *= b
+        if run.scales[t]:
+            go, s = run.scales[t]
+            ahead[go:] /= s[:, None]
+        if t:
+            y, more = before[t - 1], active[t - 1]
+            moves += alpha[y : y + c].T @ ahead
+            b = ahead @ back
+            if more > c:
+                b = np.concatenate([b, leave[c:more]])
     inner = ~p.opens
-    moves += (p.entry * weight)[:, inner] @ (emit[:, :c] * b)[:, inner].T
-    alpha[:, :c] *= b
+    moves += (p.entry * weight)[:, inner] @ ahead[inner]
     for k in range(len(counts)):
-        counts[k] += np.bincount(symbols, alpha[k], counts.shape[1])
-    return alpha[:, :c][:, p.opens].sum(1, dtype=float), moves * m.move, like
+        counts[k] += np.bincount(symbols, alpha[:, k], counts.shape[1])
+    return alpha[: active[0]][p.opens].sum(0, dtype=float), moves * m.move, float((run.like * weight).sum())
 
 
 def _bundles(size: np.ndarray) -> Iterator[np.ndarray]:
@@ -426,29 +475,30 @@ def initial(coded: DataFrame, states: int = STATES, batches: int = BATCHES) -> T
     return Trained(np.full(states, 1 / states), move / move.sum(1, keepdims=True), vocabulary, bits, size, total, once, plain, first + once / states, batches=batches)
 
 
-def _joined(coded: DataFrame, model: Trained, work: Callable[[int, Model, np.ndarray, pa.Table], dict], schema: str, columns: list[str]) -> DataFrame:
-    """What ``work(chunk, model of its symbols, logarithms of their frequencies, row)`` gives for every chunk."""
+def _joined(coded: DataFrame, model: Trained, work: Callable[[int, Model, np.ndarray, pa.Table], dict], schema: str, columns: list[str], plain: bool) -> DataFrame:
+    """What ``work(chunk, model of its symbols, logarithms of their frequencies, row)`` gives for every chunk; without ``plain`` no logarithms are sent."""
     states, total, once, start, move = len(model.start), max(1, model.total), model.once, model.start, model.move
     sums, rare, left = model.sums()
 
     def value(h: np.ndarray, given: list) -> np.ndarray:
-        out = np.zeros((len(h) + 1, states + 1), np.float32)
+        out = np.zeros((len(h) + 1, states + plain), np.float32)
         n = next((np.frombuffer(x, np.float64) for c, _, x in given if c == -1), np.zeros(0))
         counts = (left * n[:, None]) * _noise(h, states) if left else np.zeros((len(h), states))
         for c, w, x in sorted((g for g in given if g[0] < -1), key=lambda g: -g[0]):
             counts[np.searchsorted(h, w)] += np.frombuffer(x, np.float32).reshape(-1, states)
         out[:-1, :states] = (counts + SHARE / states * n[:, None]) / sums * (total / n[:, None])
-        out[:-1, states] = np.log(n / total)
+        if plain:
+            out[:-1, states] = np.log(n / total)
         return out
 
     def join(left_: pa.Table, right: pa.Table) -> pa.Table:
-        given, out = _answered(right, np.float32, states + 1), []
-        emit = np.empty((states, len(given) + 1), np.float32)
-        emit[:, 1:] = given[:, :states].T
-        emit[:, RARE] = rare / sums * (total / max(1, once)) if once else 1.0
-        logs = np.r_[np.log(max(1, once) / total), given[:, states].astype(float)]
+        given, out = _answered(right, np.float32, states + plain), []
+        emit = np.empty((len(given) + 1, states), np.float32)
+        emit[1:] = given[:, :states]
+        emit[RARE] = rare / sums * (total / max(1, once)) if once else 1.0
+        logs = np.r_[np.log(max(1, once) / total), given[:, states:].ravel().astype(float)]
         for row in (left_.slice(i, 1) for i in range(left_.num_rows)):
-            out.append(pa.table(work(row["chunk"][0].as_py(), Model(start, move, emit), logs, row)))
+            out.append(pa.table(work(row["chunk"][0].as_py(), Model(start, move, emit.T), logs, row)))
         return pa.concat_tables(out)
 
     answers = _answers(_asks(coded, model.bits), [model.vocabulary, *(t for _, t in sorted(model.tables.items()))], value)
@@ -489,7 +539,7 @@ def batch_of(coded: DataFrame, model: Trained, batch: int) -> tuple[Trained, flo
         return pa.table(_rows([(t["part"][0].as_py(), batch, h.tobytes(), summed.tobytes(), sum(totals).tolist() if totals else None)]))
 
     mine = coded.filter(F.col("batch") == batch)
-    counted = _joined(mine, model, work, COUNTS, ["chunk", "known", "symbols", "size", "times"])
+    counted = _joined(mine, model, work, COUNTS, ["chunk", "known", "symbols", "size", "times"], False)
     table = write_table(counted.groupBy("part").applyInArrow(merge, COUNTS), "emissions")
     t = _summed(table)
     if not len(t):
@@ -548,7 +598,7 @@ def score(coded: DataFrame, model: Trained) -> DataFrame:
         _release()
         return {"doc_id": ids.take(pa.array(every)), "n_tokens": pa.array(size[every]), "log_likelihood": pa.array(like[every], from_pandas=True), "per_token": pa.array(per[every], from_pandas=True)}
 
-    return _joined(coded, model, work, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double", ["chunk", "known", "symbols", "size", "doc_id", "times"])
+    return _joined(coded, model, work, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double", ["chunk", "known", "symbols", "size", "doc_id", "times"], True)
 
 
 def score_docs(docs: DataFrame, model: Trained) -> DataFrame:

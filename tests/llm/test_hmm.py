@@ -43,6 +43,24 @@ def test_likelihood_and_counts_are_sums_over_all_paths(monkeypatch, piece):
     assert np.allclose(counts, want_counts, rtol=1e-4) and np.allclose(start, want_start, rtol=1e-4) and np.allclose(moves, want_moves, rtol=1e-4)
 
 
+def test_only_pieces_between_two_others_cost_matrices(monkeypatch):
+    """And the vectors of outer pieces give what sequences that aren't cut give, also over thousands of words."""
+    m, r, seen, real = model(4, 8, 50), np.random.default_rng(1), [], hmm.transfers
+    size = np.array([3, 64, 65, 128, 129, 3000, 700])
+    flat, first, times = r.integers(0, 50, size.sum()).astype(np.int32), np.cumsum(size) - size, np.array([1, 2, 1, 1, 3, 1, 1])
+    whole, whole_counts = None, None
+    for piece in (5000, 64):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        monkeypatch.setattr(hmm, "transfers", lambda m_, flat_, first_, *rest: seen.append(len(first_)) or real(m_, flat_, first_, *rest))
+        counts = np.zeros((8, 50))
+        got = [hmm.forward(m, flat, first, size), *hmm.expected(m, flat, first, size, times, counts)]
+        if whole is None:
+            whole, whole_counts = got, counts
+    inner = np.maximum(-(-size // 64) - 2, 0).sum()
+    assert seen == [inner, inner]
+    assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(got, whole)) and np.allclose(counts, whole_counts, rtol=1e-4)
+
+
 def counted(texts):
     n = {}
     for t in texts:
