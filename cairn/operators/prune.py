@@ -15,7 +15,8 @@ def usage(factors: DataFrame) -> DataFrame:
     """(pos, freq) where the number of factors that copy a dictionary byte changes: freq holds from pos up to the next pos. Steps up and down are summed by place;
     no byte is listed by itself."""
     copies = factors.filter("not is_literal")
-    steps = copies.select(F.col("offset").alias("pos"), F.lit(1).alias("d")).union(copies.select((F.col("offset") + F.col("len")).alias("pos"), F.lit(-1).alias("d")))
+    ends = F.array(F.struct(F.col("offset").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("offset") + F.col("len")).alias("pos"), F.lit(-1).alias("d")))
+    steps = copies.select(F.inline(ends))  # both ends in one pass over the factors
     change = steps.groupBy("pos").agg(F.sum("d").alias("d")).filter("d <> 0")
     return change.select("pos", F.sum("d").over(Window.orderBy("pos")).alias("freq"))
 

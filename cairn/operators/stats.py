@@ -51,9 +51,11 @@ def literal_share(factors: DataFrame) -> DataFrame:
 
 def usage_thresholds(bytes_used: DataFrame) -> DataFrame:
     """(at_least, n): bytes that no factor copies (at_least 0), and those copied at least 1, 2, 4, ... times."""
-    zero = bytes_used.agg(F.lit(0).cast("bigint").alias("at_least"), F.sum((F.col("freq") == 0).cast("bigint")).alias("n"))
-    steps = bytes_used.filter("freq > 0").select(F.explode(F.expr("transform(sequence(0, cast(floor(log2(freq)) as int)), i -> shiftleft(1L, i))")).alias("at_least"))
-    return zero.union(steps.groupBy("at_least").agg(F.count("*").alias("n")))
+    zero = F.array(F.struct(F.lit(0).cast("bigint").alias("at_least"), (F.col("freq") == 0).cast("bigint").alias("n")))
+    powers = F.expr("transform(sequence(0, cast(floor(log2(freq)) as int)), i -> struct(shiftleft(1L, i) as at_least, 1L as n))")
+    steps = bytes_used.select(F.inline(F.when(F.col("freq") > 0, F.concat(zero, powers)).otherwise(zero)))  # one pass; no row is counted twice
+    none = bytes_used.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("at_least"), F.lit(None).cast("bigint").alias("n"))
+    return steps.union(none).groupBy("at_least").agg(F.sum("n").alias("n"))
 
 
 def zero_runs(bytes_used: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def _batches(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBa
 
 
 def encode_blocks(blocks: DataFrame, data: bytes, cfg: StoreConfig) -> DataFrame:
-    """Parses and encodes every block where it is; no shuffle."""
+    """Parses and encodes every block where it is; no shuffle. Equal blocks of a batch are parsed once."""
     if len(data) > MAX_DICTIONARY:
         raise ValueError(f"a dictionary has at most {MAX_DICTIONARY} bytes, for it goes to every executor")
     order = suffix_array(np.frombuffer(data, np.uint8)).astype(np.int32).tobytes()  # once, on the driver
@@ -122,10 +122,12 @@ def encode_blocks(blocks: DataFrame, data: bytes, cfg: StoreConfig) -> DataFrame
         index = _index(*shared.value)
         for whole in batches:
             for b in _batches(whole):
-                raw = b.column("content").to_pylist()
+                content = b.column("content").dictionary_encode()
+                raw = content.dictionary.to_pylist()
                 offsets, lengths = index.parse(raw, cfg.threshold)
                 coded = [encode_block(*x, cfg) for x in zip(raw, offsets, lengths)]
-                yield pa.RecordBatch.from_arrays([b.column("block_id"), b.column("raw_len"), pa.array([len(x) for x in lengths], pa.int32()), *(pa.array([c[i] for c in coded], pa.binary()) for i in range(3))], [c.split()[0] for c in ENCODED.split(", ")])
+                columns = [pa.array([len(x) for x in lengths], pa.int32()), *(pa.array([c[i] for c in coded], pa.binary()) for i in range(3))]
+                yield pa.RecordBatch.from_arrays([b.column("block_id"), b.column("raw_len"), *(c.take(content.indices) for c in columns)], [c.split()[0] for c in ENCODED.split(", ")])
 
     return blocks.select("block_id", "raw_len", "content").mapInArrow(run, ENCODED)
 
@@ -148,17 +150,20 @@ def decode_blocks(encoded: DataFrame, data: bytes, cfg: StoreConfig) -> DataFram
 
 
 def factors_of(encoded: DataFrame, cfg: StoreConfig) -> DataFrame:
-    """A row for each factor, from the streams alone."""
+    """A row for each factor, from the streams alone. Equal streams of a batch are decoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _batches(whole):
-                for block, (n, s) in zip(b.column("block_id").to_pylist(), _streams(b)):
-                    offsets, lengths, literals = decode_streams(n, s, cfg)
-                    literal = offsets == LITERAL
-                    size = np.where(literal, lengths, 0)
-                    data = pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(np.packbits(literal, bitorder="little")), pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(literals)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(literal), pa.array(offsets.astype(np.int32), mask=literal), pa.array(lengths.astype(np.int32)), data], [c.split()[0] for c in FACTORS.split(", ")])
+            for b in _batches(whole, 1 << 20):
+                seen: dict[tuple, int] = {}
+                which = [seen.setdefault(x, len(seen)) for x in _streams(b)]
+                decoded = [decode_streams(n, s, cfg) for n, s in seen]
+                offsets, lengths, literals = (np.concatenate([decoded[w][i] for w in which]) for i in range(3))
+                size = np.asarray(b.column("n_factors")).astype(np.int64)
+                first, n = np.repeat(np.cumsum(size) - size, size), int(size.sum())
+                literal = offsets == LITERAL
+                data = pa.Array.from_buffers(pa.binary(), n, [pa.py_buffer(np.packbits(literal, bitorder="little")), pa.py_buffer(np.r_[0, np.cumsum(np.where(literal, lengths, 0))].astype(np.int32)), pa.py_buffer(literals)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("block_id")), size)), pa.array((np.arange(n) - first).astype(np.int32)), pa.array(literal), pa.array(offsets.astype(np.int32), mask=literal), pa.array(lengths.astype(np.int32)), data], [c.split()[0] for c in FACTORS.split(", ")])
 
     return encoded.mapInArrow(run, FACTORS)
 

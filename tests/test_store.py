@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cairn.operators import dictionary, prune, sketch, stats, store
-from cairn.operators.blocks import extract, to_blocks
+from cairn.operators.blocks import extract, spread, to_blocks
 from cairn.plans import queries as Q
 from cairn.plans.scratch import write_table
 from cairn.sources.corpus import doc_order, read_files, read_trec, sanitize, to_corpus
@@ -182,3 +182,19 @@ def test_corpus_of_odd_ids_keeps_every_byte(spark, names):
     blocks = to_blocks(to_corpus(df, list(names), "t"), 8).orderBy("block_id").collect()
     assert b"".join(bytes(r.content) for r in blocks) == whole and all(len(r.content) == 8 for r in blocks[:-1])
     assert sorted(bytes(r.content) for r in got) == sorted(t or b"" for _, _, t in rows)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_part_parses_are_spread_and_each_query_parses_once(spark):
+    assert spread(spark.range(1000, numPartitions=1), 100).rdd.getNumPartitions() == 10 and spread(spark.range(0), 100).count() == 0
+    for name in ("greedy_parse", "usage_thresholds", "zero_runs", "zero_places", "heatmap", "prune_rem_blocks", "care_runs"):
+        p = plan(Q.queries()[name](spark, SF))
+        assert p.count("MapInArrow") == 2 and p.count("REPARTITION_BY_NUM") == 1, name  # encoded once, taken apart once
+
+
+def test_thresholds_of_unused_and_fully_used_dictionaries(spark):
+    of = lambda freq: sorted(tuple(r) for r in stats.usage_thresholds(spark.createDataFrame(list(enumerate(freq)), "pos int, freq bigint")).collect())
+    assert of([5, 1]) == [(0, 0), (1, 2), (2, 1), (4, 1)] and of([0, 0]) == [(0, 2)] and of([]) == [(0, None)]
