@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cairn.functions.codecs import NAMES, decode, encode
 from cairn.functions.hashing import gram_hashes
@@ -121,3 +122,20 @@ def test_factors_by_repeats_are_those_of_the_restricted_parse(d, draw):
     begin, end = np.array(cuts[:-1]), np.array(cuts[1:])
     want = [len(brute(data, data[a:b], 0, 2)[1]) for a, b in zip(begin, end)]
     assert Index.of(data).factors_by_repeats(begin, end).tolist() == want
+
+
+def test_equal_blocks_and_literals_at_block_ends():
+    blocks = [b"zz", b"zz", b"", b"zabcdz", b"z", b"zz", b"zabcdz"]
+    for t in range(4):
+        offsets, lengths = Index.of(b"abcdabc").parse(blocks, t)
+        for b, o, n in zip(blocks, offsets, lengths):
+            assert (o.tolist(), n.tolist()) == brute(b"abcdabc", b, t)
+
+
+def test_rabin_karp_of_a_long_string(spark):
+    """Codes of characters are worked out once a string: with all of them for each run this would take 3,000 times as long."""
+    from cairn.functions.hashing import rabin_karp
+
+    text = "".join(chr(97 + i * i % 23) for i in range(3000))
+    (got,) = spark.createDataFrame([(text,)], "t string").select(rabin_karp(F.col("t"), 8)).first()
+    assert got == [int.from_bytes(text[i : i + 8].encode(), "big") % 2147483647 for i in range(2993)]
