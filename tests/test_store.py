@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from cairn.functions.hashing import gram_hashes
 from cairn.operators import dictionary, prune, sketch, stats, store
 from cairn.operators.blocks import extract, spread, to_blocks
 from cairn.plans import queries as Q
@@ -198,3 +199,36 @@ def test_part_parses_are_spread_and_each_query_parses_once(spark):
 def test_thresholds_of_unused_and_fully_used_dictionaries(spark):
     of = lambda freq: sorted(tuple(r) for r in stats.usage_thresholds(spark.createDataFrame(list(enumerate(freq)), "pos int, freq bigint")).collect())
     assert of([5, 1]) == [(0, 0), (1, 2), (2, 1), (4, 1)] and of([0, 0]) == [(0, 2)] and of([]) == [(0, None)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"PART": 1 << 14, "GROUP": 1 << 15, "HELD": 500}, {"LEAST_HOT": 1, "GROUP": 1 << 14}])
+def test_sampled_runs_are_found_in_one_pass_whatever_their_number(spark, monkeypatch, limits):
+    """Against a search of every place; the dictionaries' steps read the blocks a fixed number of times."""
+    for name, value in limits.items():
+        monkeypatch.setattr(dictionary, name, value)
+    b = write_table(Q._blocks(spark, SF).filter("block_id < 8"), "blocks")
+    sample = {r.h: r.n for r in dictionary.kgram_sample(b, 16, 8, block_size=Q.B).collect()}
+    for disjoint in (False, True):
+        step, want = 16 if disjoint else 1, {}
+        for r in b.orderBy("block_id").collect():
+            on = [h in sample for h in gram_hashes(bytes(r.content), 16).tolist()[::step]]
+            for a in range(len(on)):
+                if on[a] and (not a or not on[a - 1]):
+                    e = next((i for i in range(a, len(on)) if not on[i]), len(on))
+                    if (size := (e - 1 - a) * step + 16) <= 1024:
+                        want.setdefault(bytes(r.content)[a * step : a * step + size], r.block_id * Q.B + a * step)
+        got = dictionary.segments(b, down=8, disjoint=disjoint, block_size=Q.B)
+        assert {bytes(r.content): r.text_pos for r in got.collect()} == want and want
+    text, covered, out = b"".join(bytes(r.content) for r in b.orderBy("block_id").collect()), set(), b""
+    per = max(1, -(-len(text) // 512) // 8)
+    for e in range(-(-len(text) // 512 // per) + 1)[:8]:
+        best, score, has = e * per, 0.0, set()
+        for c in range(e * per, min((e + 1) * per, -(-len(text) // 512))):
+            at = [i for i in range(c * 512, min(len(text), (c + 1) * 512)) if i % Q.B <= Q.B - 16 and i + 16 <= len(text)]
+            h = {int(gram_hashes(text[i : i + 16], 16)[0]) for i in at} & sample.keys()
+            value = float((np.array([sample[x] for x in sorted(h - covered)], float) ** 0.5).sum() ** 2)
+            if value > 0 and value >= score:
+                best, score, has = c, value, h
+        covered |= has
+        out += text[best * 512 : (best + 1) * 512]
+    assert dictionary.coverage(b, 8 * 512, 512, down=8, order="seq", block_size=Q.B) == out
