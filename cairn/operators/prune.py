@@ -17,6 +17,11 @@ def usage(factors: DataFrame) -> DataFrame:
     copies = factors.filter("not is_literal")
     ends = F.array(F.struct(F.col("offset").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("offset") + F.col("len")).alias("pos"), F.lit(-1).alias("d")))
     steps = copies.select(F.inline(ends))  # both ends in one pass over the factors
+    return summed(steps)
+
+
+def summed(steps: DataFrame) -> DataFrame:
+    """The same from steps(pos, d), of which many may be at one place."""
     change = steps.groupBy("pos").agg(F.sum("d").alias("d")).filter("d <> 0")
     return change.select("pos", F.sum("d").over(Window.orderBy("pos")).alias("freq"))
 

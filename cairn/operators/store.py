@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,12 +112,37 @@ def _batches(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(a, b - a)
 
 
-def encode_blocks(blocks: DataFrame, data: bytes, cfg: StoreConfig) -> DataFrame:
-    """Parses and encodes every block where it is; no shuffle. Equal blocks of a batch are parsed once."""
+def _shared(blocks: DataFrame, data: bytes) -> Broadcast:
+    """The dictionary and its suffix array, which is made once, on the driver."""
     if len(data) > MAX_DICTIONARY:
         raise ValueError(f"a dictionary has at most {MAX_DICTIONARY} bytes, for it goes to every executor")
-    order = suffix_array(np.frombuffer(data, np.uint8)).astype(np.int32).tobytes()  # once, on the driver
-    shared = blocks.sparkSession.sparkContext.broadcast((data, order))
+    order = suffix_array(np.frombuffer(data, np.uint8)).astype(np.int32).tobytes()
+    return blocks.sparkSession.sparkContext.broadcast((data, order))
+
+
+def usage_of(blocks: DataFrame, data: bytes, cfg: StoreConfig) -> DataFrame:
+    """What ``prune.usage`` gives for the factors of all blocks: they are parsed where they are, and only each task's sums leave it."""
+    shared = _shared(blocks, data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, steps = _index(*shared.value), np.zeros(len(shared.value[0]) + 1, np.int64)
+        for whole in batches:
+            for b in _batches(whole):
+                content = b.column("content").dictionary_encode()
+                times = np.bincount(np.asarray(content.indices), minlength=len(content.dictionary))
+                for offsets, lengths, n in zip(*index.parse(content.dictionary.to_pylist(), cfg.threshold), times.tolist()):
+                    copies = offsets != LITERAL
+                    np.add.at(steps, offsets[copies], n)
+                    np.add.at(steps, offsets[copies] + lengths[copies], -n)
+        at = np.flatnonzero(steps)
+        yield pa.RecordBatch.from_pydict({"pos": pa.array(at.astype(np.int32)), "d": pa.array(steps[at])})
+
+    return prune.summed(blocks.select("raw_len", "content").mapInArrow(run, "pos int, d bigint"))
+
+
+def encode_blocks(blocks: DataFrame, data: bytes, cfg: StoreConfig) -> DataFrame:
+    """Parses and encodes every block where it is; no shuffle. Equal blocks of a batch are parsed once."""
+    shared = _shared(blocks, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(*shared.value)
@@ -245,8 +271,7 @@ class Store:
 def build(blocks: DataFrame, cfg: StoreConfig = StoreConfig()) -> Store:  # noqa: B008
     data = dictionaries.STRATEGIES[cfg.dictionary](blocks, cfg.dict_bytes, block_size=cfg.block_size, **({} if cfg.dictionary in ("none", "assemble", "assemble_disjoint") else {"sample": cfg.sample}), **cfg.options)
     if cfg.prune != "none" and cfg.pruned_bytes and len(data) > cfg.pruned_bytes:
-        trial = factors_of(encode_blocks(blocks, data, cfg), cfg)
-        data = prune.STRATEGIES[cfg.prune](data, prune.usage(trial), cfg.pruned_bytes)
+        data = prune.STRATEGIES[cfg.prune](data, usage_of(blocks, data, cfg), cfg.pruned_bytes)
     return Store(encode_blocks(blocks, data, cfg), data, cfg)
 
 
@@ -281,20 +306,22 @@ def verify(decoded: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def lz_encode(blocks: DataFrame, codec: str = "zlib-9") -> DataFrame:
-    """(block_id, raw_len, codec, payload): every block compressed by itself."""
+    """(block_id, raw_len, codec, payload): every block compressed by itself. Of a batch few are held at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [encode(codec, np.frombuffer(x, np.uint8)) for x in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("block_id"), b.column("raw_len"), pa.array([codec] * len(data)), pa.array(data, pa.binary())], ["block_id", "raw_len", "codec", "payload"])
+        for whole in batches:
+            for b in _batches(whole):
+                data = [encode(codec, np.frombuffer(x.as_buffer(), np.uint8)) for x in b.column("content")]
+                yield pa.RecordBatch.from_arrays([b.column("block_id"), b.column("raw_len"), pa.array([codec] * len(data)), pa.array(data, pa.binary())], ["block_id", "raw_len", "codec", "payload"])
 
     return blocks.select("block_id", "raw_len", "content").mapInArrow(run, "block_id bigint, raw_len int, codec string, payload binary")
 
 
 def lz_decode(lz: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [decode(c, p, n, np.uint8).tobytes() for c, p, n in zip(*(b.column(x).to_pylist() for x in ("codec", "payload", "raw_len")))]
-            yield pa.RecordBatch.from_arrays([b.column("block_id"), b.column("raw_len"), pa.array(data, pa.binary())], ["block_id", "raw_len", "content"])
+        for whole in batches:
+            for b in _batches(whole):
+                data = [decode(c, p, n, np.uint8).tobytes() for c, p, n in zip(*(b.column(x).to_pylist() for x in ("codec", "payload", "raw_len")))]
+                yield pa.RecordBatch.from_arrays([b.column("block_id"), b.column("raw_len"), pa.array(data, pa.binary())], ["block_id", "raw_len", "content"])
 
     return lz.mapInArrow(run, "block_id bigint, raw_len int, content binary")

@@ -232,3 +232,16 @@ def test_sampled_runs_are_found_in_one_pass_whatever_their_number(spark, monkeyp
         covered |= has
         out += text[best * 512 : (best + 1) * 512]
     assert dictionary.coverage(b, 8 * 512, 512, down=8, order="seq", block_size=Q.B) == out
+
+
+@pytest.mark.parametrize("kind", ["rem", "care"])
+def test_usage_of_blocks_is_that_of_their_factors(spark, monkeypatch, kind):
+    b = write_table(blocks_of(spark, ["the same words again " * 40, "and others " * 30] + ["x" * 64] * 3), "blocks")
+    cfg = store.StoreConfig(dict_bytes=256, sample=32, block_size=64, prune=kind, pruned_bytes=128)
+    data = dictionary.uniform(b, 256, 32, 64)
+    want = prune.usage(store.factors_of(store.encode_blocks(b, data, cfg), cfg))
+    got = store.usage_of(b, data, cfg)
+    assert prune.dense(got, len(data)).tolist() == prune.dense(want, len(data)).tolist() and plan(got).count("MapInArrow") == 1
+    monkeypatch.setattr(store, "factors_of", None)  # a trial's factors aren't coded and listed
+    s = store.build(b, cfg)
+    assert s.data == prune.STRATEGIES[kind](data, want, 128) and store.verify(s.scan(), b).first().n_bad == 0
