@@ -1,4 +1,5 @@
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -245,3 +246,28 @@ def test_usage_of_blocks_is_that_of_their_factors(spark, monkeypatch, kind):
     monkeypatch.setattr(store, "factors_of", None)  # a trial's factors aren't coded and listed
     s = store.build(b, cfg)
     assert s.data == prune.STRATEGIES[kind](data, want, 128) and store.verify(s.scan(), b).first().n_bad == 0
+
+
+def test_codec_arrays_hold_the_keys_of_many_orders(spark, tmp_path):
+    rows = [(i, (i * i + j) % 90_000) for i in range(3000) for j in range(i % 5 + 1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.l_orderkey: (r.n, r.total) for r in Q.codec_arrays(spark, str(tmp_path)).collect()}
+    assert got == {i: (i % 5 + 1, 8 * sum(k for o, k in rows if o == i)) for i in range(3000)}
+
+
+def test_sketch_bounds_by_parts(spark, monkeypatch):
+    """Frequent runs too, in parts and batches of any size: against exact counts. A sketch of half the text counts too little."""
+    monkeypatch.setattr(sketch, "PART", 700)
+    monkeypatch.setattr(sketch, "HELD", 900)
+    text = "".join(chr(97 + i * i * i % 25) for i in range(5000)) + "a" * 6000
+    b = write_table(blocks_of(spark, [text], 256), "blocks")
+    raw = text.encode()
+    want = Counter(gram_hashes(raw, 16).tolist())
+    half = sketch.cms_build(sketch.kgram_hashes(b, 16, 256).limit(4000), "h", 0.01, 0.01)
+    for data in (bytes(sketch.cms_build(sketch.kgram_hashes(b, 16, 256), "h", 0.01, 0.01).first()[0]), bytes(half.first()[0])):
+        cms = sketch.CountMin(data)
+        h = np.array(list(want))
+        more = cms.estimate(h) - np.array(list(want.values()))
+        r = sketch.cms_bounds(data, b, 16, 256).selectExpr("sum(runs) runs", "sum(less) less", "sum(within) within").first()
+        assert tuple(r) == (len(want), (more < 0).sum(), (more <= cms.error()).sum())
+    assert r.less > 0
