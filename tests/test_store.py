@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairn.functions.hashing import gram_hashes
@@ -271,3 +272,21 @@ def test_sketch_bounds_by_parts(spark, monkeypatch):
         r = sketch.cms_bounds(data, b, 16, 256).selectExpr("sum(runs) runs", "sum(less) less", "sum(within) within").first()
         assert tuple(r) == (len(want), (more < 0).sum(), (more <= cms.error()).sum())
     assert r.less > 0
+
+
+@pytest.mark.parametrize("codec", ["zlib-1", "lzma-6"])
+def test_blocks_of_a_batch_are_compressed_few_at_a_time(codec):
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    texts = [bytes([i]) * (1 << 20) for i in range(20)]
+    batch = pa.RecordBatch.from_pydict({"block_id": pa.array(range(20)), "raw_len": pa.array([1 << 20] * 20, pa.int32()), "content": pa.array(texts, pa.binary())})
+    coded = list(store.lz_encode(Rows(), codec).run(iter([batch])))
+    back = list(store.lz_decode(Rows()).run(iter([pa.Table.from_batches(coded).combine_chunks().to_batches()[0]])))
+    assert b"".join(x for b in back for x in b.column("content").to_pylist()) == b"".join(texts)
+    assert all(2 <= len(x) and max(b.num_rows for b in x) <= 8 for x in (coded, back))
